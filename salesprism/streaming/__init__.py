@@ -1,0 +1,5 @@
+"""No streaming operators: the workload this package covers is batch only.
+
+The cleaners in :mod:`salesprism.functions.cleaners` are plain column
+expressions, so they can be applied to a streaming DataFrame unchanged.
+"""
