@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from salesprism.functions import fixed_values as fixed
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# A plain number with outer space; short enough exponents keep it finite.
+NUMBER = r"^\s*[+-]?([0-9]{1,200}\.?[0-9]{0,50}|\.[0-9]{1,50})([eE][+-]?[0-9]{1,2})?\s*$"
 
 
 def _col(c: Column | str) -> Column:
@@ -35,9 +36,8 @@ def normalize_space(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """A finite double, or null for anything that is not a plain number."""
-    text = F.trim(_col(c).cast("string"))
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    text = _col(c)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def number_or_zero(c: Column | str) -> Column:
@@ -45,14 +45,23 @@ def number_or_zero(c: Column | str) -> Column:
 
 
 def clean_price(c: Column | str) -> Column:
-    text = F.trim(F.regexp_replace(_col(c), "[₹$,]", ""))
-    return F.when(~text.rlike(f"(?i)({fixed.PRICE_PLACEHOLDER})"), to_number(text))
+    """The number left once currency signs and commas are gone.
+
+    Blanks and words such as "price on request", "n/a" or "null" are not
+    numbers, so they need no rule of their own.
+    """
+    return to_number(F.translate(_col(c), fixed.CURRENCY_SIGNS, ""))
 
 
 def category_bucket(c: Column | str) -> Column:
-    """The first keyword bucket in one text column, else null."""
-    text = F.translate(F.lower(normalize_space(c)), "&/-", "   ")
-    return first_match(fixed.CATEGORY_KEYWORDS, text, lambda v, p: v.rlike(p))
+    """The first keyword bucket in one text column, else null.
+
+    The keywords are single words, so spacing and separators do not matter.
+    """
+    def any_word(text: Column, words: str) -> Column:
+        return reduce(lambda a, b: a | b, [text.contains(w) for w in words.split("|")])
+
+    return first_match(fixed.CATEGORY_KEYWORDS, F.lower(_col(c)), any_word)
 
 
 def clean_category(*sources: Column | str) -> Column:
@@ -61,23 +70,28 @@ def clean_category(*sources: Column | str) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Upper-case each letter that follows a non-letter, lower-case the rest."""
-    pieces = F.split(_col(c), r"(?<=\P{L})")
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    """Upper-case each letter that follows a non-letter, lower-case the rest.
+
+    ``initcap`` only sees spaces, so other separators get one for its sake.
+    """
+    opened = F.regexp_replace(_col(c), r"([^\p{L} ])(?=\p{L})", "$1\u0001 ")
+    return F.replace(F.initcap(opened), F.lit("\u0001 "), F.lit(""))
 
 
 def clean_city(c: Column | str) -> Column:
     tidy = title_case(normalize_space(c))
-    fixes = F.create_map(*[F.lit(v) for pair in fixed.CITY_FIXES.items() for v in pair])
-    blank = _col(c).isNull() | (F.trim(F.regexp_replace(_col(c), r"\s+", " ")) == "")
-    return F.when(blank, "Unknown").otherwise(F.coalesce(F.try_element_at(fixes, tidy), tidy))
+    fixes = F.create_map(*[F.lit(v) for pair in {**fixed.CITY_FIXES, "": "Unknown"}.items() for v in pair])
+    return F.coalesce(F.try_element_at(fixes, tidy), tidy, F.lit("Unknown"))
 
 
 def clean_payment(c: Column | str, strict: bool = False) -> Column:
-    """Payment family. ``strict`` corrects the over-matching of the word PAY."""
+    """Payment family. ``strict`` corrects the over-matching of the word PAY.
+
+    The patterns allow one space; the raw text may have several.
+    """
     pairs = fixed.STRICT_PAYMENT_PATTERNS if strict else fixed.PAYMENT_PATTERNS
-    text = F.upper(normalize_space(c))
-    return F.coalesce(first_match(pairs, text, lambda v, p: v.rlike(p)), F.lit("Other"))
+    found = first_match(pairs, _col(c), lambda v, p: v.rlike("(?i)" + p.replace(" ?", r"\s*")))
+    return F.coalesce(found, F.lit("Other"))
 
 
 def clean_bool(c: Column | str) -> Column:
@@ -96,18 +110,16 @@ def clean_flag(c: Column | str) -> Column:
 
 
 def clean_rating(c: Column | str) -> Column:
-    text = F.lower(F.trim(_col(c)))
-    for noise in ("stars", "star", "/5.0", "/5", "out of 5"):
-        text = F.replace(text, F.lit(noise), F.lit(""))
-    text = F.trim(text)
+    """Stars out of 5: a number is capped at 5, ``a/b`` is scaled to 5, 0 or less is null."""
+    text = F.regexp_replace(F.lower(_col(c)), fixed.RATING_NOISE, "")
     number = to_number(text)
-    fraction = r"^([0-9]+(?:\.[0-9]+)?) */ *([0-9]+(?:\.[0-9]+)?)"
+    fraction = r"^\s*([0-9]+(?:\.[0-9]+)?) */ *([0-9]+(?:\.[0-9]+)?)"
     top = F.regexp_extract(text, fraction, 1).try_cast("double")
     bottom = F.regexp_extract(text, fraction, 2).try_cast("double")
-    return (
-        F.when(number <= 0, F.lit(None).cast("double"))
-        .when(number.isNotNull(), F.least(number, F.lit(5.0)))
-        .when(bottom > 0, F.bround(F.least(F.try_divide(top, bottom) * 5.0, F.lit(5.0)), 2))
+    scaled = F.try_divide(top, bottom) * 5.0
+    return F.coalesce(
+        F.when(number > 0, F.least(number, F.lit(5.0))),
+        F.when(scaled.isNotNull(), F.bround(F.least(scaled, F.lit(5.0)), 2)),
     )
 
 
@@ -117,7 +129,7 @@ def parse_date(c: Column | str) -> Column:
     The shape test keeps a layout from being tried on text it cannot fit: a
     failed parse is an exception, far dearer than a pattern match.
     """
-    text = F.trim(_col(c))
+    text = F.translate(F.trim(_col(c)), "/", "-")
     chain = F.when(text.rlike(fixed.ISO_DATE), text.try_cast("timestamp"))
     for shape, layouts in fixed.DATE_SHAPES:
         chain = chain.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in layouts]))
@@ -130,10 +142,10 @@ def clean_delivery_days(c: Column | str) -> Column:
     low = F.regexp_extract(text, span, 1).try_cast("double")
     high = F.regexp_extract(text, span, 2).try_cast("double")
     lead = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("double")
-    return (
-        F.when(text.isin(*fixed.SAME_DAY_WORDS), F.lit(0.0))
-        .when(high.isNotNull(), (low + high) / 2)
-        .when(lead <= fixed.MAX_DELIVERY_DAYS, lead)
+    return F.coalesce(
+        F.when(text.isin(*fixed.SAME_DAY_WORDS), F.lit(0.0)),
+        (low + high) / 2,
+        F.when(lead <= fixed.MAX_DELIVERY_DAYS, lead),
     )
 
 

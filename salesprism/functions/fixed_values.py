@@ -43,8 +43,11 @@ STRICT_PAYMENT_PATTERNS = (
     ("NET ?BANK", "Net Banking"),
 )
 
-# Text that means "no price".
-PRICE_PLACEHOLDER = "price.*request|na|n/?a|none|null"
+# Signs cut out of a price.
+CURRENCY_SIGNS = "₹$,"
+
+# What is cut out of a rating.
+RATING_NOISE = r"stars|star|/5\.0|/5|out of 5"
 
 # Words for yes and no.
 YES_WORDS = ("true", "yes", "y", "1")
@@ -71,17 +74,12 @@ RETURN_WORDS = {
 # Discount slab edges in percent, right-closed.
 DISCOUNT_EDGES = (0, 10, 20, 30, 40, 50, 100)
 
-# Date layouts by shape of the text, day first, then month first.
+# Date layouts by shape of the text (slashes read as dashes), day first, then month first.
 ISO_DATE = "^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?([ T].*)?$"
 DATE_SHAPES = (
-    ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ("d/M/yyyy", "M/d/yyyy")),
-    ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("d-M-yyyy", "M-d-yyyy")),
-    ("^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$", ("d.M.yyyy", "M.d.yyyy")),
-    ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", ("d/M/yy", "M/d/yy")),
+    ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}( .*)?$", ("d-M-yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")),
     ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", ("d-M-yy", "M-d-yy")),
-    ("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:.*$", ("d/M/yyyy H:mm[:ss]", "M/d/yyyy H:mm[:ss]")),
-    ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:.*$", ("d-M-yyyy H:mm[:ss]", "M-d-yyyy H:mm[:ss]")),
-    ("^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", ("yyyy/M/d",)),
+    ("^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$", ("d.M.yyyy", "M.d.yyyy")),
     ("^[0-9]{8}$", ("yyyyMMdd",)),
     ("^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", ("d MMM yyyy",)),
     ("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", ("d-MMM-yyyy",)),

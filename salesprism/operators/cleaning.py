@@ -56,14 +56,13 @@ def clean_rows(raw: DataFrame) -> DataFrame:
         else F.lit("Other"),
         "category": clean.clean_category(*sources) if sources else F.lit("Other"),
         "city": clean.clean_city("city"),
-        "order_value_segment": clean.value_segment(amount),
         **{k: v for k, v in clean.date_parts("order_date").items() if k != "month_name"},
     }
     if "customer_rating" in df.columns:
         cleaned["customer_rating"] = clean.clean_rating("customer_rating")
     if "delivery_days" in df.columns:
         cleaned["delivery_days"] = clean.clean_delivery_days("delivery_days")
-    return df.withColumns(cleaned)
+    return df.withColumns(cleaned).withColumn("order_value_segment", clean.value_segment("final_amount_inr"))
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(*[
         F.round(c, digits).alias(c) if kinds[c] == "double"
-        else F.to_date(c).alias(c) if kinds[c] == "timestamp" else F.col(c)
+        else F.to_date(c).alias(c) if kinds[c].startswith("timestamp") else F.col(c)
         for c in df.columns
     ])
 
@@ -517,8 +517,12 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "top_rules": top_rules,
 }
 
-# Results whose last digits depend on the order of addition over very large sums.
-DIGITS = {"kpis": 2, "profit_kpis": 2, "report_kpis": 2, "return_kpis": 2, "festival_share": 2,
+# Digits kept where 4 do not suit: profits and unit prices have 5 digits by
+# nature, and the last digits of very large sums depend on the order of addition.
+DIGITS = {**{name: 6 for name in (
+              "profit_by_category", "profit_monthly", "profit_monthly_long", "discount_profit_points",
+              "product_bands", "product_best_band", "revenue_curve", "best_price_band")},
+          "kpis": 2, "profit_kpis": 2, "report_kpis": 2, "return_kpis": 2, "festival_share": 2,
           "seasonal_ar_forecast": 1, "brand_seasonal_ar_forecast": 1, "insights": 2, "overview": 2}
 
 

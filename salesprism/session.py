@@ -19,6 +19,8 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sal
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # wide cleaning stages: past this size the JVM would not compile the fused method
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
