@@ -130,9 +130,18 @@ def parse_date(c: Column | str) -> Column:
     failed parse is an exception, far dearer than a pattern match.
     """
     text = F.translate(F.trim(_col(c)), "/", "-")
-    chain = F.when(text.rlike(fixed.ISO_DATE), text.try_cast("timestamp"))
+
+    def first_fit(value: Column, layouts) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in layouts])
+
+    century = F.when(F.right(text, F.lit(2)) >= fixed.FIRST_YEAR_OF_1900S, "19").otherwise("20")
+    full_year = F.concat(F.regexp_extract(text, "^(.*-)", 1), century, F.right(text, F.lit(2)))
+    chain = (
+        F.when(text.rlike(fixed.ISO_DATE), text.try_cast("timestamp"))
+        .when(text.rlike(fixed.SHORT_YEAR_DATE), first_fit(full_year, fixed.SHORT_YEAR_LAYOUTS))
+    )
     for shape, layouts in fixed.DATE_SHAPES:
-        chain = chain.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in layouts]))
+        chain = chain.when(text.rlike(shape), first_fit(text, layouts))
     return chain
 
 

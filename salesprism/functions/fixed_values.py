@@ -76,9 +76,11 @@ DISCOUNT_EDGES = (0, 10, 20, 30, 40, 50, 100)
 
 # Date layouts by shape of the text (slashes read as dashes), day first, then month first.
 ISO_DATE = "^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?([ T].*)?$"
+SHORT_YEAR_DATE = "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$"
+SHORT_YEAR_LAYOUTS = ("d-M-yyyy", "M-d-yyyy")
+FIRST_YEAR_OF_1900S = "69"
 DATE_SHAPES = (
     ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}( .*)?$", ("d-M-yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")),
-    ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", ("d-M-yy", "M-d-yy")),
     ("^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$", ("d.M.yyyy", "M.d.yyyy")),
     ("^[0-9]{8}$", ("yyyyMMdd",)),
     ("^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", ("d MMM yyyy",)),

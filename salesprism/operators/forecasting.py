@@ -159,7 +159,7 @@ def seasonal_ar_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: i
         ys, ws = state["ys"], state["ws"]
         next_w = F.col("a") * back(ws, 1) + F.col("b") * back(ws, SEASON)
         seasonal = next_w + back(ys, 1) + back(ys, SEASON) - back(ys, SEASON + 1)
-        next_y = F.when(F.size(ys) >= SEASON + 1, seasonal).otherwise(back(ys, 1))
+        next_y = F.when(F.size("points") > SEASON, seasonal).otherwise(back(ys, 1))
         return F.struct(F.concat(ys, F.array(next_y)).alias("ys"), F.concat(ws, F.array(next_w)).alias("ws"))
 
     rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.struct("ys", "ws"), step)

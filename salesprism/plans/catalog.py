@@ -15,7 +15,7 @@ from salesprism.functions import cleaners as clean
 from salesprism.operators import aggregates as agg
 from salesprism.operators import basket, cleaning, customers, filters, forecasting, insights, pricing, ranking, sales
 from salesprism.plans.dirty import dirty_transactions
-from salesprism.session import new_path
+from salesprism.session import new_path, stage
 from salesprism.sources import readers, schema, sinks
 from salesprism.sources.tables import stored_transactions
 
@@ -31,11 +31,15 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
     return stored_transactions(spark, folder).withColumn("city", F.col("customer_city"))
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round each double column; dates stay dates."""
+def rounded(df: DataFrame, digits: int | dict[str, int] = 4) -> DataFrame:
+    """Round each double column; timestamps become dates."""
     kinds = dict(df.dtypes)
+
+    def kept(c: str) -> int:
+        return digits.get(c, 4) if isinstance(digits, dict) else digits
+
     return df.select(*[
-        F.round(c, digits).alias(c) if kinds[c] == "double"
+        F.round(c, kept(c)).alias(c) if kinds[c] == "double"
         else F.to_date(c).alias(c) if kinds[c].startswith("timestamp") else F.col(c)
         for c in df.columns
     ])
@@ -142,6 +146,11 @@ def derive_price(t: DataFrame) -> DataFrame:
 
 # Cleaning
 
+def raw_table(t: DataFrame) -> DataFrame:
+    """The dirty rows as a stored table, the way a raw file would lie there."""
+    return stage(dirty_transactions(t), "raw")
+
+
 def clean_city(t: DataFrame) -> DataFrame:
     return _cleaned(t, "city", clean.clean_city("city"))
 
@@ -224,7 +233,7 @@ def dup_flag(t: DataFrame) -> DataFrame:
 
 
 def clean_pipeline(t: DataFrame) -> DataFrame:
-    cleaned = cleaning.clean_transactions(dirty_transactions(t))
+    cleaned = cleaning.clean_transactions(raw_table(t))
     return cleaned.groupBy("category", "city", "payment_method", "order_year", "order_value_segment", "is_prime").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("final_amount_inr").alias("revenue"),
         F.sum("customer_rating").alias("ratings"), F.sum("delivery_days").alias("days"),
@@ -232,7 +241,7 @@ def clean_pipeline(t: DataFrame) -> DataFrame:
 
 
 def qa_report(t: DataFrame) -> DataFrame:
-    raw = dirty_transactions(t)
+    raw = raw_table(t)
     return cleaning.quality_report(raw, cleaning.clean_rows(raw))
 
 
@@ -517,13 +526,16 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "top_rules": top_rules,
 }
 
-# Digits kept where 4 do not suit: profits and unit prices have 5 digits by
+# Digits kept where 4 do not suit: profits and unit prices have more digits by
 # nature, and the last digits of very large sums depend on the order of addition.
-DIGITS = {**{name: 6 for name in (
-              "profit_by_category", "profit_monthly", "profit_monthly_long", "discount_profit_points",
-              "product_bands", "product_best_band", "revenue_curve", "best_price_band")},
-          "kpis": 2, "profit_kpis": 2, "report_kpis": 2, "return_kpis": 2, "festival_share": 2,
-          "seasonal_ar_forecast": 1, "brand_seasonal_ar_forecast": 1, "insights": 2, "overview": 2}
+_PROFIT = ("profit_by_category", "profit_monthly", "profit_monthly_long", "discount_profit_points")
+_BANDS = ("product_bands", "product_best_band", "revenue_curve", "best_price_band")
+_TOTALS = ("kpis", "profit_kpis", "report_kpis", "return_kpis", "festival_share", "insights", "overview")
+_SOLVED = ("seasonal_ar_forecast", "brand_seasonal_ar_forecast")
+DIGITS: dict[str, int | dict[str, int]] = {
+    **dict.fromkeys((*_PROFIT, "customer_describe"), 6), **dict.fromkeys(_BANDS, {"avg_price": 2}),
+    **dict.fromkeys(_TOTALS, 2), **dict.fromkeys(_SOLVED, 1),
+}
 
 
 def _query(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:

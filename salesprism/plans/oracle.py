@@ -150,8 +150,9 @@ def rating(c: str) -> str:
 
 
 def date(c: str) -> str:
-    formats = ("%d/%m/%Y", "%d-%m-%Y", "%d-%m-%y", "%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y")
-    return "coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for f in formats) + ")"
+    formats = ("%d/%m/%Y", "%d-%m-%Y", "%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y")
+    long = "coalesce(" + ", ".join(f"try_strptime({c}, '{f}')" for f in formats) + ")"
+    return f"CASE WHEN regexp_full_match({c}, '\\d\\d?-\\d\\d?-\\d\\d') THEN try_strptime({c}, '%d-%m-%y') ELSE {long} END"
 
 
 def delivery(c: str) -> str:
@@ -259,9 +260,9 @@ LAST_CATEGORY = (
 
 
 def describe_part(c: str) -> str:
-    return (f"SELECT '{c}' AS metric, count({c}) AS count, round(avg({c}), 4) AS mean, CAST(round(min({c}), 4) AS DOUBLE) AS min, "
-            f"round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, "
-            f"CAST(round(max({c}), 4) AS DOUBLE) AS max, round(stddev_samp({c}), 4) AS std FROM cs")
+    return (f"SELECT '{c}' AS metric, count({c}) AS count, round(avg({c}), 6) AS mean, CAST(round(min({c}), 6) AS DOUBLE) AS min, "
+            f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, "
+            f"CAST(round(max({c}), 6) AS DOUBLE) AS max, round(stddev_samp({c}), 6) AS std FROM cs")
 
 
 CUSTOMER_SUMMARY = (PROFILE, f"cs AS (SELECT customer_id, last_order AS last_order_date, orders, monetary AS lifetime_value, {days(LATEST, 'last_order')} AS recency_days FROM p)")
@@ -617,10 +618,10 @@ SQL: dict[str, str] = {
     "recency_hist": q("SELECT bin, count(*) AS customers, round(lo + (bin - 1) * (hi - lo) / 40, 4) AS low, round(lo + bin * (hi - lo) / 40, 4) AS high FROM (SELECT *, CAST(least(40, greatest(1, ceil((recency_days - lo) / ((hi - lo) / 40)))) AS INT) AS bin FROM ch CROSS JOIN (SELECT CAST(min(recency_days) AS DOUBLE) AS lo, CAST(max(recency_days) AS DOUBLE) AS hi FROM ch)) GROUP BY bin, lo, hi", *CHURN),
     "price_elasticity": q("SELECT * FROM el", *PRICED),
     "elasticity_labels": q("SELECT label, count(*) AS products FROM el GROUP BY 1", *PRICED),
-    "revenue_curve": q("SELECT price_bin, round(avg_price, 6) AS avg_price, round(revenue, 6) AS revenue FROM rc", *PRICED),
-    "best_price_band": q("SELECT price_bin, round(avg_price, 6) AS avg_price, round(revenue, 6) AS revenue FROM rc ORDER BY rc.revenue DESC LIMIT 1", *PRICED),
-    "product_bands": q("SELECT product_name, price_bin, round(avg_price, 6) AS avg_price, round(total_qty, 6) AS total_qty, round(revenue, 6) AS revenue FROM pb", *PRICED),
-    "product_best_band": q("SELECT product_name, arg_max(price_bin, revenue) AS price_bin, round(arg_max(avg_price, revenue), 6) AS avg_price, round(max(revenue), 6) AS revenue FROM pb WHERE product_name IN (SELECT product_name FROM vp) GROUP BY 1", *PRICED),
+    "revenue_curve": q("SELECT price_bin, round(avg_price, 2) AS avg_price, round(revenue, 4) AS revenue FROM rc", *PRICED),
+    "best_price_band": q("SELECT price_bin, round(avg_price, 2) AS avg_price, round(revenue, 4) AS revenue FROM rc ORDER BY rc.revenue DESC LIMIT 1", *PRICED),
+    "product_bands": q("SELECT product_name, price_bin, round(avg_price, 2) AS avg_price, round(total_qty, 4) AS total_qty, round(revenue, 4) AS revenue FROM pb", *PRICED),
+    "product_best_band": q("SELECT product_name, arg_max(price_bin, revenue) AS price_bin, round(arg_max(avg_price, revenue), 2) AS avg_price, round(max(revenue), 4) AS revenue FROM pb WHERE product_name IN (SELECT product_name FROM vp) GROUP BY 1", *PRICED),
     "trend_season_forecast": q("SELECT month, round(forecast, 4) AS forecast FROM fc", ALL_SERIES, *forecast_ctes("k")),
     "brand_forecast": q("SELECT k AS brand, month, round(forecast, 4) AS forecast FROM fc", BRAND_SERIES, *forecast_ctes("k")),
     "seasonal_ar_forecast": recursive(q("SELECT CAST(last_month + to_months(i) AS DATE) AS month, round(ys[-1], 1) AS forecast FROM roll WHERE i > 0", *seasonal_ctes(ALL_SERIES))),

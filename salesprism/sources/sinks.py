@@ -45,9 +45,16 @@ def save_transactions_table(df: DataFrame, name: str, buckets: int, key: str = "
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    """One folder of CSV files. ``single_file`` is for tables bounded by a limit."""
+    """One folder of CSV files. ``single_file`` is for tables bounded by a limit.
+
+    Outer spaces are part of the text and are kept.
+    """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    (
+        out.write.mode("overwrite").option("header", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .option("quote", '"').option("escape", '"').csv(path)
+    )
     return path
 
 
@@ -64,9 +71,10 @@ def write_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parqu
 
 def write_lines(insights: DataFrame, path: str, title: str | None = None) -> str:
     """Insight sentences as text in rule order; a handful of rows, so one file."""
-    lines = insights.orderBy("rule").select(F.col("text").alias("value"))
+    lines = insights.select("rule", "text")
     if title is not None:
-        head = insights.sparkSession.range(1).select(F.lit(title).alias("value"))
+        head = insights.sparkSession.range(1).select(F.lit(0).alias("rule"), F.lit(title).alias("text"))
         lines = head.unionByName(lines)
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    lines = lines.repartition(1).sortWithinPartitions("rule").select(F.col("text").alias("value"))
+    lines.write.mode("overwrite").text(path)
     return path
