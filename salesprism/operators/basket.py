@@ -31,8 +31,9 @@ def frequent_baskets(df: DataFrame, basket: str, item: str, min_support: float)
     pairs = distinct_items(df, basket, item)
     n = basket_count(df, basket, item)
     frequent = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= n * min_support).select(item)
+    # at most (mean basket size / min_support) rows, so it can be broadcast whatever the data's size
     return (
-        pairs.join(frequent, item, "left_semi")
+        pairs.join(F.broadcast(frequent), item, "left_semi")
         .groupBy(basket).agg(F.sort_array(F.collect_list(F.col(item).cast("string"))).alias("items"))
     )
 

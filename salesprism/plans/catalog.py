@@ -533,7 +533,7 @@ _BANDS = ("product_bands", "product_best_band", "revenue_curve", "best_price_ban
 _TOTALS = ("kpis", "profit_kpis", "report_kpis", "return_kpis", "festival_share", "insights", "overview")
 _SOLVED = ("seasonal_ar_forecast", "brand_seasonal_ar_forecast")
 DIGITS: dict[str, int | dict[str, int]] = {
-    **dict.fromkeys((*_PROFIT, "customer_describe"), 6), **dict.fromkeys(_BANDS, {"avg_price": 2}),
+    "customer_describe": {"q25": 6, "q50": 6, "q75": 6}, **dict.fromkeys(_PROFIT, 5), **dict.fromkeys(_BANDS, {"avg_price": 2}),
     **dict.fromkeys(_TOTALS, 2), **dict.fromkeys(_SOLVED, 1),
 }
 

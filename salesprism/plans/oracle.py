@@ -260,9 +260,9 @@ LAST_CATEGORY = (
 
 
 def describe_part(c: str) -> str:
-    return (f"SELECT '{c}' AS metric, count({c}) AS count, round(avg({c}), 6) AS mean, CAST(round(min({c}), 6) AS DOUBLE) AS min, "
+    return (f"SELECT '{c}' AS metric, count({c}) AS count, round(avg({c}), 4) AS mean, CAST(round(min({c}), 4) AS DOUBLE) AS min, "
             f"round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, "
-            f"CAST(round(max({c}), 6) AS DOUBLE) AS max, round(stddev_samp({c}), 6) AS std FROM cs")
+            f"CAST(round(max({c}), 4) AS DOUBLE) AS max, round(stddev_samp({c}), 4) AS std FROM cs")
 
 
 CUSTOMER_SUMMARY = (PROFILE, f"cs AS (SELECT customer_id, last_order AS last_order_date, orders, monetary AS lifetime_value, {days(LATEST, 'last_order')} AS recency_days FROM p)")
@@ -551,9 +551,9 @@ SQL: dict[str, str] = {
     "return_loss_month": q(f"SELECT {MONTH} AS month, round(sum({LOSS}), 4) AS return_loss, count(*) FILTER (return_status = 'Returned') AS return_count FROM t GROUP BY 1"),
     "return_summary": q(f"SELECT {returned('return_status', 'export')} AS is_returned, count({AMT}) AS orders, {REV} FROM t GROUP BY 1"),
     "profit_kpis": q(f"SELECT round(sum({AMT}), 2) AS total_revenue, round(sum(cost), 2) AS total_cost, round(sum(profit), 2) AS total_profit, round(100 * sum(profit) / sum({AMT}), 2) AS margin_pct, round(sum(return_loss), 2) AS total_return_loss FROM pf", PROFIT),
-    "profit_by_category": q("SELECT category, round(sum(profit), 6) AS profit FROM pf GROUP BY 1 ORDER BY sum(profit) DESC, 1 LIMIT 10", PROFIT),
-    "profit_monthly": q(f"SELECT strftime(order_date, '%Y-%m') AS month_label, round(sum(final_amount_inr), 6) AS revenue, round(sum(profit), 6) AS profit FROM pf GROUP BY 1", PROFIT),
-    "discount_profit_points": q(f"SELECT round(discount_percent, 6) AS discount_percent, round(profit, 6) AS profit, round({AMT}, 6) AS final_amount_inr FROM pf WHERE discount_percent IS NOT NULL", PROFIT),
+    "profit_by_category": q("SELECT category, round(sum(profit), 5) AS profit FROM pf GROUP BY 1 ORDER BY sum(profit) DESC, 1 LIMIT 10", PROFIT),
+    "profit_monthly": q(f"SELECT strftime(order_date, '%Y-%m') AS month_label, round(sum(final_amount_inr), 5) AS revenue, round(sum(profit), 5) AS profit FROM pf GROUP BY 1", PROFIT),
+    "discount_profit_points": q(f"SELECT round(discount_percent, 5) AS discount_percent, round(profit, 5) AS profit, round({AMT}, 5) AS final_amount_inr FROM pf WHERE discount_percent IS NOT NULL", PROFIT),
     "discount_slab": q(" UNION ALL ".join(f"SELECT '({a}, {b}]' AS slab, round(coalesce(sum({AMT}), 0), 4) AS revenue FROM t WHERE discount_percent > {a} AND discount_percent <= {b}" for a, b in SLABS)),
     "festival_revenue": top("festival_name", 10, where="is_festival_sale AND festival_name IS NOT NULL"),
     "festival_share": q(f"SELECT round(sum({AMT}) FILTER (is_festival_sale), 2) AS festival_revenue, count(*) FILTER (is_festival_sale) AS festival_orders, round_even(sum({AMT}) FILTER (is_festival_sale) / count(*) FILTER (is_festival_sale), 2) AS avg_festival_order, round(100 * sum({AMT}) FILTER (is_festival_sale) / sum({AMT}), 2) AS share_pct FROM t"),
@@ -588,7 +588,7 @@ SQL: dict[str, str] = {
     # joins and reshapes
     "churn_by_last_category": q("SELECT last_category, round(avg(is_churned), 4) AS churn_share, count(*) AS customers FROM ch JOIN lc USING (customer_id) GROUP BY 1", *CHURN, LAST_CATEGORY),
     "distinct_pairs": q("SELECT DISTINCT transaction_id, category FROM t"),
-    "profit_monthly_long": q("SELECT strftime(order_date, '%Y-%m') AS month_label, 'revenue' AS metric, round(sum(final_amount_inr), 6) AS value FROM pf GROUP BY 1 UNION ALL SELECT strftime(order_date, '%Y-%m'), 'profit', round(sum(profit), 6) FROM pf GROUP BY 1", PROFIT),
+    "profit_monthly_long": q("SELECT strftime(order_date, '%Y-%m') AS month_label, 'revenue' AS metric, round(sum(final_amount_inr), 5) AS value FROM pf GROUP BY 1 UNION ALL SELECT strftime(order_date, '%Y-%m'), 'profit', round(sum(profit), 5) FROM pf GROUP BY 1", PROFIT),
     "return_monthly_long": q(f"SELECT {MONTH} AS month, 'return_loss' AS metric, round(sum({LOSS}), 4) AS value FROM t GROUP BY 1 UNION ALL SELECT {MONTH}, 'return_count', CAST(count(*) FILTER (return_status = 'Returned') AS DOUBLE) FROM t GROUP BY 1"),
     "forecast_union": q("SELECT month, round(value, 4) AS value, 'actual' AS kind FROM m UNION ALL SELECT month, round(forecast, 4), 'forecast' FROM fc", ALL_SERIES, *forecast_ctes("k")),
     # top-k lists
