@@ -40,10 +40,6 @@ def to_number(c: Column | str) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def number_or_zero(c: Column | str) -> Column:
-    return F.coalesce(to_number(c), F.lit(0.0))
-
-
 def clean_price(c: Column | str) -> Column:
     """The number left once currency signs and commas are gone.
 

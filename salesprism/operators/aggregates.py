@@ -156,7 +156,7 @@ def state_share(df: DataFrame, k: int = 10) -> DataFrame:
     return share_of_total(top_k(df, ["customer_state"], k))
 
 
-def order_rank_first_month(df: DataFrame) -> DataFrame:
+def new_and_returning(df: DataFrame) -> DataFrame:
     """Distinct buyers per month, split into first-month and returning.
 
     Rows are reduced to (buyer, month) before the window, so a buyer's window

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions import cleaners as clean
+from salesprism.session import stage
 from salesprism.sources.schema import city_column, find_column
 
 PRICE_COLUMNS = ("original_price_inr", "discounted_price_inr", "final_amount_inr", "subtotal_inr")
@@ -73,34 +74,38 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
     return df.withColumn("is_possible_duplicate", F.lit(False))
 
 
-def top_values_text(df: DataFrame, column: str, n: int = 5) -> DataFrame:
-    """``value(count); ...`` for the ``n`` most frequent values, null included."""
-    top = (
-        df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), F.asc_nulls_last(column)).limit(n)
-    )
-    label = F.concat(F.coalesce(F.col(column).cast("string"), F.lit("nan")), F.lit("("), F.col("_n"), F.lit(")"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("k"), F.col(column).alias("v"), label.alias("t"))))
-    return top.agg(F.array_join(F.transform(ranked, lambda s: s["t"]), "; ").alias("value"))
-
-
 def quality_report(
-    before: DataFrame, after: DataFrame, columns: Sequence[str] = ("category", "city", "payment_method")
+    before: DataFrame, after: DataFrame, columns: Sequence[str] = ("category", "city", "payment_method"), n: int = 5
 ) -> DataFrame:
-    """Rows before, after and dropped, and the most frequent cleaned values."""
-    counts = (
-        before.agg(F.count(F.lit(1)).alias("b"))
-        .withColumn("a", after.agg(F.count(F.lit(1)).alias("a")).scalar())
-        .select(F.explode(F.array(
-            F.struct(F.lit("rows_before").alias("metric"), F.col("b").cast("string").alias("value")),
-            F.struct(F.lit("rows_after").alias("metric"), F.col("a").cast("string").alias("value")),
-            F.struct(F.lit("rows_dropped_due_to_invalid_dates").alias("metric"),
-                     (F.col("b") - F.col("a")).cast("string").alias("value")),
-        )).alias("r"))
-        .select("r.metric", "r.value")
+    """Rows before, after and dropped, and the ``n`` most frequent cleaned values of each column.
+
+    One grouping-sets pass over the cleaned rows counts all columns and the
+    rows; nulls are counted too. The per-column top ``n`` is taken on each
+    partition before the shuffle.
+    """
+    counted = after.groupingSets([[F.col(c)] for c in columns] + [[]], *columns).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("rows"))
+    last = len(columns) - 1
+    dim = F.lit("all")
+    for i, c in enumerate(columns):
+        dim = F.when(F.col("gid") == (1 << len(columns)) - 1 - (1 << (last - i)), c).otherwise(dim)
+    value = F.coalesce(*[F.col(c).cast("string") for c in columns])
+    best = Window.partitionBy("dim").orderBy(F.desc("rows"), F.asc_nulls_last("value"))
+    top = (
+        counted.select(dim.alias("dim"), value.alias("value"), "rows")
+        .withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
     )
-    for column in columns:
-        counts = counts.unionByName(
-            top_values_text(after, column).select(F.lit(f"top_{column}_after").alias("metric"), "value")
-        )
-    return counts
+    top = stage(top, "quality")
+
+    label = F.concat(F.coalesce("value", F.lit("nan")), F.lit("("), F.col("rows"), F.lit(")"))
+    placed = F.array_sort(F.collect_list(F.struct("place", label.alias("label"))))
+    values = top.where("dim <> 'all'").groupBy("dim").agg(
+        F.array_join(F.transform(placed, lambda p: p["label"]), "; ").alias("value")
+    ).select(F.concat(F.lit("top_"), "dim", F.lit("_after")).alias("metric"), "value")
+
+    rows = before.agg(F.count(F.lit(1)).alias("rows_before")).withColumn(
+        "rows_after", top.where("dim = 'all'").select("rows").scalar())
+    rows = rows.withColumn("rows_dropped_due_to_invalid_dates", F.col("rows_before") - F.col("rows_after"))
+    counts = rows.select(*[F.col(c).cast("string") for c in rows.columns]).unpivot(
+        [], list(rows.columns), "metric", "value")
+    return counts.unionByName(values)

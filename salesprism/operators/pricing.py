@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.functions.cleaners import number_or_zero, to_number
 from salesprism.operators.aggregates import AMOUNT, drop_null_keys, total
 from salesprism.operators.filters import sellable
 from salesprism.operators.ranking import equal_width_bin
-from salesprism.sources.schema import price_column
+from salesprism.sources.schema import as_number, price_column
 
 MIN_PRICES = 5
 
 
 def priced(df: DataFrame) -> DataFrame:
     """Add numeric ``price``, ``quantity`` and ``revenue`` and keep sellable rows."""
-    def as_number(c: Column, dtype: str) -> Column:
-        return c.cast("double") if dtype in ("double", "float", "int", "bigint") else to_number(c)
-
-    types = dict(df.dtypes)
-    price = price_column(df)
-    quantity = (F.coalesce(F.col("quantity").cast("double"), F.lit(0.0))
-                if types["quantity"] != "string" else number_or_zero("quantity"))
-    source = next((c for c in ("selling_price", "discounted_price_inr") if c in types), None)
-    if source:
-        price = as_number(price, types[source])
-    if AMOUNT in types:
-        revenue = F.coalesce(as_number(F.col(AMOUNT), types[AMOUNT]), F.lit(0.0))
-    else:
-        revenue = F.coalesce(price, F.lit(0.0)) * quantity
-    return sellable(df.withColumns({"price": price, "revenue": revenue}).withColumn("quantity", quantity))
+    quantity = F.coalesce(as_number(df, "quantity"), F.lit(0.0))
+    revenue = as_number(df, AMOUNT) if AMOUNT in df.columns else F.coalesce(price_column(df), F.lit(0.0)) * quantity
+    numeric = df.select(
+        *[c for c in df.columns if c not in ("price", "quantity", "revenue")],
+        price_column(df).alias("price"), quantity.alias("quantity"), F.coalesce(revenue, F.lit(0.0)).alias("revenue"))
+    return sellable(numeric)
 
 
 def eligible_products(rows: DataFrame, product: str = "product_name") -> DataFrame:

@@ -460,7 +460,7 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # ranks, bins and positions
     "order_rank": order_rank,
     "new_customers": new_customers,
-    "new_vs_returning": agg.order_rank_first_month,
+    "new_vs_returning": agg.new_and_returning,
     "rfm_quintiles": rfm_quintiles,
     "value_quintiles": value_quintiles,
     "price_bins": price_bins,

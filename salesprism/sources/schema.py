@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesprism.functions.cleaners import to_number
+
 # The input column names accepted for each canonical name, first match wins.
 ALIASES: dict[str, tuple[str, ...]] = {
     "transaction_id": ("transaction_id",),
@@ -146,12 +148,16 @@ def report_revenue(df: DataFrame, report: str) -> Column:
     raise ValueError(f"no revenue column for {report}: expected one of {REVENUE_CANDIDATES[report]}")
 
 
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as a double; text that is not a number becomes null."""
+    return to_number(name) if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
+
+
 def price_column(df: DataFrame) -> Column:
-    """A unit price: listed if there is one, else amount over quantity (null at 0)."""
+    """A numeric unit price: listed if there is one, else amount over quantity (null at 0)."""
     require_columns(df, ["quantity"])
-    found = find_column(df, ("selling_price", "discounted_price_inr"))
-    if found:
-        return F.col(found).try_cast("double")
+    listed = find_column(df, ("selling_price", "discounted_price_inr"))
+    if listed:
+        return as_number(df, listed)
     require_columns(df, ["final_amount_inr"])
-    quantity = F.col("quantity").try_cast("double")
-    return F.try_divide(F.col("final_amount_inr").try_cast("double"), F.nullif(quantity, F.lit(0.0)))
+    return F.try_divide(as_number(df, "final_amount_inr"), F.nullif(as_number(df, "quantity"), F.lit(0.0)))

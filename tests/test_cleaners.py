@@ -115,3 +115,11 @@ def test_clean_transactions_defaults_for_absent_columns(spark):
     assert len(row) == 1
     assert (row[0].final_amount_inr, row[0].payment_method, row[0].category, row[0].city, row[0].is_prime,
             row[0].is_possible_duplicate) == (5.0, "Other", "Other", "Unknown", False, False)
+
+
+def test_quality_report_counts_nulls(spark):
+    after = spark.createDataFrame([("a", None), ("a", "x"), ("b", None)], "category string, city string")
+    before = spark.range(5)
+    got = {r.metric: r.value for r in cleaning.quality_report(before, after, ("category", "city")).collect()}
+    assert got == {"rows_before": "5", "rows_after": "3", "rows_dropped_due_to_invalid_dates": "2",
+                   "top_category_after": "a(2); b(1)", "top_city_after": "nan(2); x(1)"}
