@@ -179,7 +179,7 @@ def date_parts(c: Column | str) -> dict[str, Column]:
 
 
 def month_start(c: Column | str) -> Column:
-    return F.to_date(F.date_trunc("month", _col(c)))
+    return F.trunc(F.to_date(_col(c)), "month")
 
 
 def days_between(later: Column, earlier: Column) -> Column:
