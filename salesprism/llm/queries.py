@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import pii, secret_scan, spans
+from salesprism.llm import langid, mixing, pii, secret_scan, sharding, spans
+
+SHARDS = 40
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +26,36 @@ def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir), F.array("source"), mixing.words(F.col("text")))
+    return mixed.select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
+        (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secret_scan.find_secrets(_documents(spark, sf_dir)), ("assign", "access", "hex"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(pii.find_pii(_documents(spark, sf_dir)), pii.KINDS)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
+        "op3_language_id": op3_language_id,
+        "op6_sharding": op6_sharding,
         "op4_secret_scan": op4_secret_scan,
         "op7_pii": op7_pii,
     }
