@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import langid, mixing, pii, secret_scan, sharding, spans
+from salesprism.llm import bpe, langid, mixing, pii, secret_scan, sharding, spans
 
 SHARDS = 40
 
@@ -26,6 +27,19 @@ def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
+def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.Tokenizer(spark, ranks, public_tokenizers.PATTERN)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = tokenizer(spark)
+    coded = _documents(spark, sf_dir).select("doc_id", coder.encode(F.col("text")).alias("ids"))
+    return coded.select(
+        "doc_id", bpe.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir), F.array("source"), mixing.words(F.col("text")))
     return mixed.select(
@@ -53,6 +67,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op6_sharding": op6_sharding,
