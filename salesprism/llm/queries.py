@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import bpe, langid, mixing, pii, secret_scan, sharding, spans
+from salesprism.llm import bpe, langid, minhash, mixing, pii, secret_scan, sharding, spans
 
 SHARDS = 40
 
@@ -65,6 +65,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(pii.find_pii(_documents(spark, sf_dir)), pii.KINDS)
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), width=3, threshold=85)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -73,6 +77,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op4_secret_scan": op4_secret_scan,
         "op7_pii": op7_pii,
+        "op9_superminhash": op9_superminhash,
     }
 
 
