@@ -94,7 +94,7 @@ def _visit(out: np.ndarray, items: np.ndarray, row: np.ndarray) -> None:
     slots = out.shape[1]
     order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint32), (len(items), 1))
     for level in range(slots):
-        chance = _mixed(items + np.uint64(2 * level + 1) * MIX)
+        chance = _mixed(items + np.array([2 * level + 1], np.uint64) * MIX)
         pick = level + (_mixed(chance + MIX) % np.uint64(slots - level)).astype(np.int64)
         each = np.arange(len(items))
         slot = order[each, pick]
@@ -122,8 +122,13 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: _id, _n (set size), _key (digest of the set, null if empty), _bands."""
+    """Per row: _id, _hash (of the text), _n (set size), _key (digest of the set, null if empty), _bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -134,12 +139,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 bands = bands_of(signatures(sets)).astype(np.int64)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                    part.column("_id"), part.column("_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
-                ], ["_id", "_n", "_key", "_bands"])
+                ], ["_id", "_hash", "_n", "_key", "_bands"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _n long, _key binary, _bands array<long>")
+    rows = _texts(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _hash long, _n long, _key binary, _bands array<long>")
 
 
 def _passes(threshold: int, both: int, a: int, b: int) -> bool:
@@ -217,10 +222,12 @@ def near_duplicates(
     pairs = members.where((F.col("_key") != F.col("_first._key")) & possible(F.col("_n"), F.col("_first._n"))).select(
         F.col("_first._key").alias("a"), F.col("_key").alias("b")).distinct()
     wanted = members.select("_key").distinct()
-    sample = rows.join(wanted, "_key", "left_semi").groupBy("_key").agg(F.min("_id").alias("_id"))
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(
-        sample, "_id").groupBy("_key", "_id").agg(F.min("_text").alias("_text"))
-    texts = stage(keyed.select("_key", "_text"), "minhash-texts")
+    sample = rows.join(wanted, "_key", "left_semi").groupBy("_key").agg(
+        F.min(F.struct("_id", "_hash")).alias("_one")).select("_key", F.col("_one._id").alias("_i"), F.col("_one._hash").alias("_h"))
+    # one text of each class, found by id and text so that null and repeated ids do no harm
+    keyed = _texts(docs, id_col, text_col).join(
+        sample, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
+    texts = stage(keyed.groupBy("_key").agg(F.min("text").alias("_text")), "minhash-texts")
     links = stage(verified(pairs, texts, width, threshold), "minhash-star")
     roots = components(links)
     placed = members.join(roots, members["_key"] == roots["node"], "left").select(
@@ -245,7 +252,7 @@ def near_duplicates(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     copies = salted.where(F.col("_key").isNotNull()).select("_key", "_salt").distinct().join(own, "_key")
     component = F.coalesce("_component", "_id")
-    return salted.drop("_bands").join(copies, ["_key", "_salt"], "left").select(
+    return salted.drop("_bands", "_hash").join(copies, ["_key", "_salt"], "left").select(
         F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component.eqNullSafe(F.col("_id")), F.lit(False)).alias("kept"))
 

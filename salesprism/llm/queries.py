@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import bpe, langid, minhash, mixing, pii, secret_scan, sharding, spans
+from salesprism.llm import bpe, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs
 
 SHARDS = 40
 
@@ -65,10 +65,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(pii.find_pii(_documents(spark, sf_dir)), pii.KINDS)
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_neighbours(_documents(spark, sf_dir))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), width=3, threshold=85)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(_documents(spark, sf_dir)))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -77,6 +85,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op4_secret_scan": op4_secret_scan,
         "op7_pii": op7_pii,
+        "op8_spotsigs": op8_spotsigs,
+        "op10_license_scan": op10_license_scan,
         "op9_superminhash": op9_superminhash,
     }
 
