@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import bpe, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs
+from salesprism.llm import ann, bpe, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs
 
 SHARDS = 40
 
@@ -55,6 +55,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secret_scan.find_secrets(_documents(spark, sf_dir)), ("assign", "access", "hex"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, 20)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -82,6 +86,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
+        "op5_nn_descent": op5_nn_descent,
         "op6_sharding": op6_sharding,
         "op4_secret_scan": op4_secret_scan,
         "op7_pii": op7_pii,
