@@ -99,13 +99,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     width = max(1, -(-(high - low + 1) // ranges))
     # null ids come last
     cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(ranges)).cast("long")
-    rows = with_signatures(rows, "text", "signatures").withColumn("_range", cell)
+    rows = rows.withColumn("_range", cell)
     order = (F.col("doc_id").asc_nulls_last(), F.col("text"))
     inside = Window.partitionBy("_range").orderBy(*order)
-    paired = rows.withColumn("_next", F.lead(F.struct("text", "signatures")).over(inside))
-    heads = stage(rows.groupBy("_range").agg(
-        F.min(F.struct("doc_id", "text", "signatures")).alias("_first")).select(
-        "_range", F.struct("_first.text", "_first.signatures").alias("_head")), "spotsigs-heads")
+    paired = with_signatures(rows, "text", "signatures").withColumn(
+        "_next", F.lead(F.struct("text", "signatures")).over(inside))
+    first = rows.groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("_first")).select("_range", "_first.text")
+    heads = stage(with_signatures(first, "text", "signatures").select(
+        "_range", F.struct("text", "signatures").alias("_head")), "spotsigs-heads")
     every = Window.orderBy("_range")  # one number per range
     following = heads.select("_range").withColumn("_after", F.lead("_range").over(every))
     following = following.crossJoin(F.broadcast(heads.agg(F.min("_range").alias("_start"))))  # one row
