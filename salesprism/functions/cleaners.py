@@ -156,7 +156,7 @@ def clean_delivery_days(c: Column | str) -> Column:
 
 def value_segment(c: Column | str) -> Column:
     amount = _col(c)
-    chain = F.when(amount.isNull(), "Unknown")
+    chain = F.when(amount.isNull() | F.isnan(amount.cast("double")), "Unknown")
     for bound, label in fixed.VALUE_SEGMENTS:
         chain = chain.when(amount <= bound, label)
     return chain.otherwise("Luxury")

@@ -12,6 +12,10 @@ from salesprism.operators.ranking import exact_quantiles
 from salesprism.sources.schema import find_column
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    return df.where(F.col("order_date").isNotNull()) if "order_date" in df.columns else df
+
+
 # Delivery
 
 def delivery_by_state(df: DataFrame) -> DataFrame:
@@ -52,7 +56,8 @@ def festival_delivery_delta(df: DataFrame, notable: float = 0.3) -> DataFrame:
 # Returns
 
 def with_returns(df: DataFrame, report: str = "returns") -> DataFrame:
-    """Add the return flag and the loss: the full amount of a returned line."""
+    """Add the return flag and the loss: the full amount of a returned line. Lines without a date are dropped."""
+    df = _dated(df)
     column = find_column(df, ("return_status", "is_returned", "refund_status"))
     flag = clean.is_returned(column, report) if column else F.lit(False)
     amount = F.coalesce(F.col(AMOUNT), F.lit(0.0))
@@ -107,7 +112,9 @@ def with_profit(df: DataFrame) -> DataFrame:
     """Add cost, discount loss, return loss, profit and margin per line.
 
     A line without both prices has a null discount loss and so a null profit.
+    Lines without a date are dropped.
     """
+    df = _dated(df)
     discount: Column = F.lit(0.0)
     if "discounted_price_inr" in df.columns and "original_price_inr" in df.columns:
         discount = (F.col("original_price_inr") - F.col("discounted_price_inr")) * F.col("quantity")
