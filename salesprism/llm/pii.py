@@ -114,7 +114,9 @@ _WORD = "|".join(DIGIT_WORDS)
 SPELLED = re.compile(rf"(?<![a-z])(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{{LEAST_SPELLED - 1},}}(?![a-z])")
 SPELLED_PART = re.compile(rf"(plus[\x20-]+)|({_WORD})|[\x20-]+")
 _OPEN, _SHUT = r"\x20{0,3}[(\[{<]\x20?", r"\x20?[)\]}>]\x20{0,3}"
-_SPELLED_HOST = r"(?=[a-z0-9-]+(?:\x20dot\x20[a-z0-9-]+)+)"
+# Words after a plain "at" that open a noun phrase, as in "look at the dot on the map".
+DETERMINERS = "the|a|an|this|that|these|those|my|your|his|her|its|our|their|each|every|any|some|no|one"
+_SPELLED_HOST = rf"(?!(?:{DETERMINERS})\x20)(?=[a-z0-9-]+(?:\x20dot\x20[a-z0-9-]+)+)"
 DISGUISE = re.compile(
     rf"(?P<at>{_OPEN}at{_SHUT}|(?<=[a-z0-9])\x20at\x20{_SPELLED_HOST})|(?P<dot>{_OPEN}dot{_SHUT}|(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9]))")
 BRACKETED = re.compile(r"[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]")
