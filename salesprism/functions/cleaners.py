@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from salesprism.functions import fixed_values as fixed
 
-# A plain number with outer space; short enough exponents keep it finite.
-NUMBER = r"^\s*[+-]?([0-9]{1,200}\.?[0-9]{0,50}|\.[0-9]{1,50})([eE][+-]?[0-9]{1,2})?\s*$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# A date, and after it perhaps a time of day with AM or PM.
+DATE_AND_TIME = r"^(.*?)(?:(?:\s+|T)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,9})?))?\s*([AaPp][Mm])?)?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -30,14 +31,20 @@ def first_match(pairs, value: Column, test) -> Column:
     )
 
 
+def strip(c: Column | str) -> Column:
+    """Text without outer white space of any kind: tabs, line breaks, no-break spaces."""
+    return F.regexp_replace(_col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+
+
 def normalize_space(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
 
 
 def to_number(c: Column | str) -> Column:
     """A finite double, or null for anything that is not a plain number."""
-    text = _col(c)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    text = strip(c)
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def clean_price(c: Column | str) -> Column:
@@ -91,13 +98,17 @@ def clean_payment(c: Column | str, strict: bool = False) -> Column:
 
 
 def clean_bool(c: Column | str) -> Column:
-    text = F.lower(F.trim(_col(c).cast("string")))
-    return F.coalesce(text.isin(*fixed.YES_WORDS), F.lit(False))
+    """Yes words; of a number, whether its whole part is 1 (the text ``1.0`` is no yes word)."""
+    text = F.lower(strip(c))
+    kind = F.typeof(_col(c))  # a constant of the plan
+    numeric = kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith("decimal")
+    number = F.when(numeric, text.try_cast("double"))
+    return F.coalesce(((number >= 1) & (number < 2)) | text.isin(*fixed.YES_WORDS), text.isin(*fixed.YES_WORDS), F.lit(False))
 
 
 def clean_flag(c: Column | str) -> Column:
     """0/1 integer: yes and no words, else the number's whole part, else 0."""
-    text = F.lower(F.trim(_col(c).cast("string")))
+    text = F.lower(strip(c))
     return (
         F.when(text.isin(*fixed.FLAG_ONE_WORDS), F.lit(1))
         .when(text.isin(*fixed.FLAG_ZERO_WORDS), F.lit(0))
@@ -120,29 +131,50 @@ def clean_rating(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """Day-first layouts, then month-first, chosen by the shape of each row's text.
+    """Day-first layouts, then month-first, chosen by the shape of each row's text; a time of day may follow.
 
     The shape test keeps a layout from being tried on text it cannot fit: a
     failed parse is an exception, far dearer than a pattern match.
     """
-    text = F.translate(F.trim(_col(c)), "/", "-")
+    text = strip(c)
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, DATE_AND_TIME, group)
 
     def first_fit(value: Column, layouts) -> Column:
         return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in layouts])
 
-    century = F.when(F.right(text, F.lit(2)) >= fixed.FIRST_YEAR_OF_1900S, "19").otherwise("20")
-    full_year = F.concat(F.regexp_extract(text, "^(.*-)", 1), century, F.right(text, F.lit(2)))
-    chain = (
-        F.when(text.rlike(fixed.ISO_DATE), text.try_cast("timestamp"))
-        .when(text.rlike(fixed.SHORT_YEAR_DATE), first_fit(full_year, fixed.SHORT_YEAR_LAYOUTS))
-    )
+    def full_year(value: Column) -> Column:
+        century = F.when(F.right(value, F.lit(2)) >= fixed.FIRST_YEAR_OF_1900S, "19").otherwise("20")
+        return F.concat(F.regexp_extract(value, "^(.*[ -])", 1), century, F.right(value, F.lit(2)))
+
+    day = F.translate(part(1), "/.", "--")
+    months = "|".join((*fixed.MONTH_NAMES, *fixed.MONTH_SHORT))
+    named = F.regexp_replace(F.regexp_replace(part(1), "[ ,.-]+", " "), rf"(?i)\b({months})\b", " $1 ")
+    named = F.regexp_replace(F.trim(F.regexp_replace(named, " +", " ")), "([A-Za-z]{3})[A-Za-z]*", "$1")
+    is_named = part(1).rlike(rf"(?i)(^|[ ,.-])({months})([ ,.-]|$)")
+    chain = F.when(day.rlike(fixed.ISO_DATE), day.try_cast("timestamp"))
+    chain = chain.when(day.rlike(fixed.SHORT_YEAR_DATE), first_fit(full_year(day), fixed.SHORT_YEAR_LAYOUTS))
     for shape, layouts in fixed.DATE_SHAPES:
-        chain = chain.when(text.rlike(shape), first_fit(text, layouts))
-    return chain
+        chain = chain.when(day.rlike(shape), first_fit(day, layouts))
+    for order, layout in (("[0-9]{1,2} [A-Za-z]{3}", "d MMM yyyy"), ("[A-Za-z]{3} [0-9]{1,2}", "MMM d yyyy")):
+        chain = chain.when(is_named & named.rlike(f"^{order} [0-9]{{4}}$"), F.try_to_timestamp(named, F.lit(layout)))
+        chain = chain.when(is_named & named.rlike(f"^{order} [0-9]{{2}}$"), F.try_to_timestamp(full_year(named), F.lit(layout)))
+    hour = part(2).try_cast("int")
+    half = F.lower(part(5))
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    seconds = F.when(part(4) == "", "00").otherwise(part(4))
+    clock = F.concat(F.date_format(chain, "yyyy-MM-dd "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(3), F.lit(":"), seconds)
+    whole = F.translate(text, "/", "-")
+    return (
+        F.when(whole.rlike(fixed.ISO_DATE) & (part(5) == ""), whole.try_cast("timestamp"))
+        .when(part(2) == "", chain)
+        .otherwise(clock.try_cast("timestamp"))
+    )
 
 
 def clean_delivery_days(c: Column | str) -> Column:
-    text = F.lower(F.trim(_col(c).cast("string")))
+    text = F.lower(strip(c))
     span = r"^([0-9]+)\s*-\s*([0-9]+)"
     low = F.regexp_extract(text, span, 1).try_cast("double")
     high = F.regexp_extract(text, span, 2).try_cast("double")
@@ -212,6 +244,6 @@ def is_returned(c: Column | str, report: str = "returns") -> Column:
     if report == "insights":
         hit = status == "Returned"
     else:
-        text = F.lower(F.trim(status)) if report == "returns" else F.lower(status)
+        text = F.lower(strip(status)) if report == "returns" else F.lower(status)
         hit = text.isin(*fixed.RETURN_WORDS[report])
     return F.coalesce(hit, F.lit(False))

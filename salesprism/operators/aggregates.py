@@ -96,13 +96,14 @@ def sales_monthly(df: DataFrame) -> DataFrame:
     return group_metrics(df, ["order_year", "order_month"]).orderBy("order_year", "order_month")
 
 
-def month_year_matrix(df: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Months down, the given years across, 0 where nothing was sold."""
-    wide = (
-        drop_null_keys(df, ["order_month", "order_year"]).groupBy("order_month")
-        .pivot("order_year", list(years)).agg(F.sum(AMOUNT)).na.fill(0.0)
-    )
-    return wide.withColumnsRenamed({str(y): f"y{y}" for y in years}).orderBy("order_month")
+def month_year_matrix(df: DataFrame) -> DataFrame:
+    """Months down, the years of the data across, 0 where nothing was sold.
+
+    The years are read from the data in a small job of their own, so no year is left out.
+    """
+    sums = drop_null_keys(df, ["order_month", "order_year"]).groupBy("order_month", "order_year").agg(F.sum(AMOUNT).alias("_sum"))
+    wide = sums.groupBy("order_month").pivot("order_year").agg(F.sum("_sum")).na.fill(0.0)
+    return wide.withColumnsRenamed({c: f"y{c}" for c in wide.columns if c != "order_month"}).orderBy("order_month")
 
 
 def month_seasonality(df: DataFrame) -> DataFrame:

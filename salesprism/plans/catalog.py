@@ -21,7 +21,6 @@ from salesprism.sources.tables import stored_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-YEARS = tuple(range(1995, 2002))
 PANEL = {"years": [1999, 2000, 2001], "categories": ["ECONOMY", "LARGE", "PROMO"], "payments": ["1-URGENT", "2-HIGH"]}
 LINE = ("transaction_id", "customer_id", "product_id", "order_date", "final_amount_inr")
 
@@ -55,7 +54,8 @@ def _cleaned(t: DataFrame, raw: str, result, name: str = "cleaned") -> DataFrame
 
 def scan_csv(t: DataFrame) -> DataFrame:
     spark, raw = t.sparkSession, dirty_transactions(t)
-    path = sinks.write_csv(raw, new_path(spark, "raw-csv"))
+    shuffled = raw.select(*reversed(raw.columns))  # columns are found by name
+    path = sinks.write_csv(shuffled, new_path(spark, "raw-csv"))
     back = readers.read_csv(spark, path, raw.schema)
     return back.groupBy("payment_method").agg(
         F.count(F.lit(1)).alias("rows"), F.count("final_amount_inr").alias("amounts"),
@@ -415,7 +415,7 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "monthly_revenue": agg.monthly_revenue,
     "daily_revenue": agg.daily_revenue,
     "sales_monthly": agg.sales_monthly,
-    "month_year_pivot": lambda t: agg.month_year_matrix(t, YEARS),
+    "month_year_pivot": agg.month_year_matrix,
     "month_seasonality": agg.month_seasonality,
     "category_trends": lambda t: agg.group_metrics(t, ["order_year", "category"]),
     "category_monthly": agg.category_monthly,

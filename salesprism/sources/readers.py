@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,27 +11,45 @@ from salesprism.sources.schema import RAW_SCHEMA
 BAD_RECORD = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Raw CSV as text columns, one pass, no inference.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, multi_line: bool = False,
+) -> DataFrame:
+    """Raw CSV as text columns, matched to the header by name; inference reads no data.
 
-    Columns are matched to the header by position, so ``schema`` must follow
-    it; broken records keep their text in ``_corrupt_record``.
+    The columns of ``schema`` come first, in its order and null where the file
+    lacks them; further columns of the file follow. Broken records keep their
+    text in ``_corrupt_record``. ``multi_line`` allows line breaks inside
+    quotes; such a file cannot be split among tasks. All files under ``path``
+    share one header.
     """
-    full = T.StructType(schema.fields + [T.StructField(BAD_RECORD, T.StringType())])
-    return (
-        spark.read.option("header", True)
+    header = csv_schema(spark, path, multi_line)
+    found = {f.name.strip().lower(): f.name for f in reversed(header.fields)}
+    full = T.StructType(header.fields + [T.StructField(BAD_RECORD, T.StringType())])
+    rows = (
+        _csv(spark, multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_RECORD)
-        .option("quote", '"')
-        .option("escape", '"')
         .schema(full)
         .csv(path)
     )
 
+    def named(field: T.StructField) -> Column:
+        own = found.get(field.name.lower())
+        value = F.col(f"`{own}`") if own else F.lit(None)
+        return value.cast(field.dataType).alias(field.name)
+
+    used = {found.get(f.name.lower()) for f in schema.fields}
+    more = [F.col(f"`{f.name}`") for f in header.fields if f.name not in used]
+    return rows.select(*map(named, schema.fields), *more, BAD_RECORD)
+
+
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+
 
-def csv_schema(spark: SparkSession, path: str) -> T.StructType:
+def csv_schema(spark: SparkSession, path: str, multi_line: bool = False) -> T.StructType:
     """The header of a CSV file as an all-text schema."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).schema
+    return _csv(spark, multi_line).option("inferSchema", False).csv(path).schema
 
 
 def read_table(spark: SparkSession, source: str) -> DataFrame:
