@@ -141,36 +141,23 @@ def parse_date(c: Column | str) -> Column:
     def part(group: int) -> Column:
         return F.regexp_extract(text, DATE_AND_TIME, group)
 
-    def first_fit(value: Column, layouts) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in layouts])
-
-    def full_year(value: Column) -> Column:
-        century = F.when(F.right(value, F.lit(2)) >= fixed.FIRST_YEAR_OF_1900S, "19").otherwise("20")
-        return F.concat(F.regexp_extract(value, "^(.*[ -])", 1), century, F.right(value, F.lit(2)))
-
-    day = F.translate(part(1), "/.", "--")
-    months = "|".join((*fixed.MONTH_NAMES, *fixed.MONTH_SHORT))
-    named = F.regexp_replace(F.regexp_replace(part(1), "[ ,.-]+", " "), rf"(?i)\b({months})\b", " $1 ")
-    named = F.regexp_replace(F.trim(F.regexp_replace(named, " +", " ")), "([A-Za-z]{3})[A-Za-z]*", "$1")
-    is_named = part(1).rlike(rf"(?i)(^|[ ,.-])({months})([ ,.-]|$)")
+    months = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in fixed.MONTH_NAMES).replace("tember)?", "t(?:ember)?)?")
+    gap = "[ ,.-]+"
+    day = F.regexp_replace(part(1), rf"(?i)^({months}){gap}([0-9]{{1,2}}){gap}([0-9]+)$", "$2 $1 $3")
+    day = F.regexp_replace(day, rf"(?i)^([0-9]{{1,2}}){gap}(?=(?:{months}){gap}[0-9]+$)([a-z]{{3}})[a-z]*{gap}", "$1-$2-")
+    day = F.translate(day, "/.", "--")
+    for digits, century in ((fixed.YEARS_OF_1900S, "19"), (fixed.YEARS_OF_2000S, "20")):
+        day = F.regexp_replace(day, rf"^(?<day>[0-9]{{1,2}}-[0-9A-Za-z]{{1,3}}-)(?<year>{digits})$", f"${{day}}{century}${{year}}")
     chain = F.when(day.rlike(fixed.ISO_DATE), day.try_cast("timestamp"))
-    chain = chain.when(day.rlike(fixed.SHORT_YEAR_DATE), first_fit(full_year(day), fixed.SHORT_YEAR_LAYOUTS))
     for shape, layouts in fixed.DATE_SHAPES:
-        chain = chain.when(day.rlike(shape), first_fit(day, layouts))
-    for order, layout in (("[0-9]{1,2} [A-Za-z]{3}", "d MMM yyyy"), ("[A-Za-z]{3} [0-9]{1,2}", "MMM d yyyy")):
-        chain = chain.when(is_named & named.rlike(f"^{order} [0-9]{{4}}$"), F.try_to_timestamp(named, F.lit(layout)))
-        chain = chain.when(is_named & named.rlike(f"^{order} [0-9]{{2}}$"), F.try_to_timestamp(full_year(named), F.lit(layout)))
-    hour = part(2).try_cast("int")
-    half = F.lower(part(5))
+        chain = chain.when(day.rlike(shape), F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in layouts]))
+    hour, half = part(2).try_cast("int"), F.lower(part(5))
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    seconds = F.when(part(4) == "", "00").otherwise(part(4))
-    clock = F.concat(F.date_format(chain, "yyyy-MM-dd "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(3), F.lit(":"), seconds)
+    clock = F.when(part(2) == "", "00:00:00").otherwise(
+        F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(3), F.lit(":"), F.when(part(4) == "", "00").otherwise(part(4))))
     whole = F.translate(text, "/", "-")
-    return (
-        F.when(whole.rlike(fixed.ISO_DATE) & (part(5) == ""), whole.try_cast("timestamp"))
-        .when(part(2) == "", chain)
-        .otherwise(clock.try_cast("timestamp"))
-    )
+    return F.when(whole.rlike(fixed.ISO_DATE) & (part(5) == ""), whole.try_cast("timestamp")).otherwise(
+        F.concat(F.date_format(chain, "yyyy-MM-dd "), clock).try_cast("timestamp"))
 
 
 def clean_delivery_days(c: Column | str) -> Column:

@@ -76,16 +76,14 @@ DISCOUNT_EDGES = (0, 10, 20, 30, 40, 50, 100)
 
 # Date layouts by shape of the date part (slashes and dots read as dashes), day first, then month first.
 ISO_DATE = "^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?([ T].*)?$"
-SHORT_YEAR_DATE = "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$"
-SHORT_YEAR_LAYOUTS = ("d-M-yyyy", "M-d-yyyy")
-FIRST_YEAR_OF_1900S = "69"
+YEARS_OF_1900S, YEARS_OF_2000S = "69|[7-9][0-9]", "[0-5][0-9]|6[0-8]"
 DATE_SHAPES = (
     ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("d-M-yyyy", "M-d-yyyy")),
     ("^[0-9]{8}$", ("yyyyMMdd",)),
+    ("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", ("d-MMM-yyyy",)),
 )
 MONTH_NAMES = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-MONTH_SHORT = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec")
 
 # Cost share of the sales amount.
 COST_SHARE = 0.70
