@@ -4,16 +4,21 @@ Equal vectors are one node; a node keeps its smallest ids, as many as any
 answer can need, so ties among copies are settled exactly and a group of
 copies costs one node. The graph starts from random blocks, each compared in
 itself. A round then joins every node with its neighbours and a bounded draw
-of those it is a neighbour of; inside such a neighbourhood all meet all, and
-an offer is made only where it beats the worst neighbour a node has. Rounds
-end when the summed scores gain less than ``LEAST_GAIN``. Queries start from
-their own node and expand the best nodes not yet expanded, until none is
-left in the pool or the rounds are up.
+of those it is a neighbour of; inside such a neighbourhood all meet all but
+those that were there before, and an offer is made only where it beats the
+worst neighbour a node has. Rounds go on until the summed scores gain less
+than ``LEAST_GAIN``, however many that takes.
+
+Queries start from their own node and expand the best nodes not yet expanded,
+until none is left in the pool. How wide a pool must be depends on the table,
+so it is measured: a bounded sample of the queries is compared with all nodes,
+and the pools are doubled until ``RECALL`` of the sample's true neighbours is
+found, or until a pool holds all that can be reached.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one, nor null
-ids. Of rows that repeat an id, the smallest vector counts. Only row counts
-and sums reach the driver.
+ids. Of rows that repeat an id, the smallest vector counts. Only row counts,
+sums and the vectors of the sample (at most ``SAMPLE``) reach the driver.
 """
 
 from __future__ import annotations
@@ -30,16 +35,17 @@ from salesprism.session import stage
 NEIGHBOURS = 40
 BLOCK = 100  # nodes of a random block, in the mean
 START_BLOCKS = 2
-ROUNDS = 9
 LEAST_GAIN = 0.002
-POOL = 60  # nodes a query keeps
-SEARCH_ROUNDS = 3
+POOL = 100  # nodes a query keeps at first
+RECALL = 0.95  # of the sample's true neighbours
+SAMPLE = 200  # queries compared with all nodes
 SALTS = 32
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part, vec as doubles."""
-    vec = F.col(vec_col).cast("array<double>")
+    """(id, vec) of the rows that take part; vec stays single where it is stored so, else it is double."""
+    single = rows.schema[vec_col].dataType.simpleString() == "array<float>"
+    vec = F.col(vec_col).cast("array<float>" if single else "array<double>")
     whole = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(
         F.col("id").isNotNull() & F.coalesce(whole, F.lit(False)) & F.exists("vec", lambda x: x != 0))
@@ -58,101 +64,196 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1)
+    return flat.reshape(len(vectors), -1).astype(np.float64)
 
 
 def meet(hoods: DataFrame, most: int) -> DataFrame:
-    """Offers (a, b, s) inside each neighbourhood: for every member its best others above its bound."""
+    """Offers (a, b, s, new) inside each neighbourhood: for every member its best others above its bound.
+
+    Two members that are not new have met before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for members in batch.column("members"):
                 members = members.values
-                ids, bound = (members.field(c).to_numpy(zero_copy_only=False) for c in ("a", "bound"))
+                ids, bound, new = (members.field(c).to_numpy(zero_copy_only=False) for c in ("a", "bound", "new"))
                 if len(ids) < 2:
                     continue
                 x = _matrix(members.field("vec"))
                 s = x @ x.T
                 np.fill_diagonal(s, -np.inf)
-                best = np.argpartition(-s, min(most, len(ids)) - 1, axis=1)[:, :most]
-                score = np.take_along_axis(s, best, 1)
-                row, at = np.nonzero(score > bound[:, None])
-                found.append((ids[row], ids[best[row, at]], score[row, at]))
+                s[np.ix_(~new, ~new)] = -np.inf
+                better = s > bound[:, None]
+                if better.sum(axis=1).max() > most:
+                    best = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                    row, at = np.nonzero(np.take_along_axis(better, best, 1))
+                    at = best[row, at]
+                else:
+                    row, at = np.nonzero(better)
+                found.append((ids[row], ids[at], s[row, at]))
             if found:
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "s"])
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "s"])
 
-    return hoods.select("members").mapInArrow(run, "a long, b long, s double")
+    return hoods.select("members").mapInArrow(run, "a long, b long, s double").withColumn("new", F.lit(True))
 
 
 def best_of(offers: DataFrame, most: int) -> DataFrame:
-    """The graph: id, near (array of cost = -s and node b, best first), bound (score to beat)."""
-    near = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("s")).alias("cost"), "b"))), 1, most)
-    graph = offers.groupBy(F.col("a").alias("id")).agg(near.alias("near"))
+    """The graph: id, near (array of cost = -s, node b and whether it is new, best first), bound (score to beat).
+
+    A pair's score may differ in its last bits from one neighbourhood to the
+    next, so pairs are made one before the best are taken.
+    """
+    pairs = offers.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    near = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("cost"), "b", "new"))), 1, most)
+    graph = pairs.groupBy(F.col("a").alias("id")).agg(near.alias("near"))
     bound = F.when(F.size("near") == most, -F.element_at("near", -1)["cost"]).otherwise(F.lit(float("-inf")))
     return graph.withColumn("bound", bound)
 
 
 def as_offers(graph: DataFrame) -> DataFrame:
     return graph.select(F.col("id").alias("a"), F.explode("near").alias("n")).select(
-        "a", "n.b", (-F.col("n.cost")).alias("s"))
+        "a", "n.b", (-F.col("n.cost")).alias("s"), F.lit(False).alias("new"))
+
+
+def _edges(graph: DataFrame) -> DataFrame:
+    return graph.select(F.col("id").alias("hub"), F.explode("near").alias("n")).select("hub", "n.b", "n.cost", "n.new")
+
+
+def _backward(edges: DataFrame, order: Column, most: int) -> DataFrame:
+    """(hub, a, new): of those a hub is a neighbour of the first ``most``, first per salt so that no list is gathered whole."""
+    back = edges.select(F.col("b").alias("hub"), F.struct(order.alias("order"), F.col("hub").alias("a"), "new").alias("e"))
+    salt = F.pmod(F.xxhash64("e.a", "hub"), F.lit(SALTS)).alias("salt")
+    back = back.groupBy("hub", salt).agg(F.slice(F.array_sort(F.collect_list("e")), 1, most).alias("some"))
+    back = back.groupBy("hub").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, most).alias("some"))
+    return back.select("hub", F.explode("some").alias("e")).select("hub", "e.a", "e.new")
+
+
+def _total(graph: DataFrame) -> float | None:
+    return graph.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda t, n: t - n["cost"]))).first()[0]
 
 
 def neighbour_graph(nodes: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
     """NN-descent over nodes (id, vec)."""
     blocks = max(1, nodes.count() // BLOCK)
-    member = F.struct(F.col("id").alias("a"), F.lit(float("-inf")).alias("bound"), "vec")
+    member = F.struct(F.col("id").alias("a"), F.lit(float("-inf")).alias("bound"), F.lit(True).alias("new"), "vec")
     spread = nodes.select(member.alias("m"), F.explode(F.array(*(
         F.struct(F.lit(r).alias("r"), F.pmod(F.xxhash64("id", F.lit(r)), F.lit(blocks)).alias("k"))
         for r in range(START_BLOCKS)))).alias("block"))
     hoods = spread.groupBy("block").agg(F.collect_list("m").alias("members"))
     graph = stage(best_of(meet(hoods, most), most), "ann-graph")
-    total = graph.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda t, n: t - n["cost"]))).first()[0]
-    for turn in range(ROUNDS):
-        out = graph.select(F.col("id").alias("hub"), F.explode("near.b").alias("a"))
-        # those a hub is a neighbour of: a bounded draw, first per salt so that no hub's list is gathered whole
-        back = out.select(F.col("a").alias("hub"), F.col("hub").alias("a"), F.xxhash64("a", "hub", F.lit(turn)).alias("draw"))
-        back = back.groupBy("hub", F.pmod("draw", F.lit(SALTS)).alias("salt")).agg(
-            F.slice(F.array_sort(F.collect_list(F.struct("draw", "a"))), 1, most).alias("some"))
-        back = back.groupBy("hub").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, most).alias("some"))
-        back = back.select("hub", F.explode("some.a").alias("a"))
-        pairs = out.union(back).union(graph.select(F.col("id").alias("hub"), F.col("id").alias("a"))).distinct()
+    total, turn = _total(graph), 0
+    while total is not None:
+        edges = _edges(graph)
+        # a bounded draw, new ones first
+        draw = F.struct((~F.col("new")).alias("old"), F.xxhash64("hub", "b", F.lit(turn)).alias("draw"))
+        pairs = edges.select("hub", F.col("b").alias("a"), "new").union(_backward(edges, draw, most)).union(
+            graph.select(F.col("id").alias("hub"), F.col("id").alias("a"), F.lit(False).alias("new")))
+        pairs = pairs.repartition("hub").groupBy("hub", "a").agg(F.max("new").alias("new"))
+        own = F.collect_list(F.struct("a", "new")).alias("own")
+        pairs = pairs.groupBy("hub").agg(own).where(F.exists("own", lambda m: m["new"])).select(
+            "hub", F.explode("own").alias("m")).select("hub", "m.a", "m.new")
         told = nodes.select(F.col("id").alias("a"), "vec").join(graph.select(F.col("id").alias("a"), "bound"), "a")
-        hoods = pairs.join(told, "a").groupBy("hub").agg(F.collect_list(F.struct("a", "bound", "vec")).alias("members"))
+        hoods = pairs.join(told, "a").groupBy("hub").agg(F.collect_list(F.struct("a", "bound", "new", "vec")).alias("members"))
         graph = stage(best_of(as_offers(graph).union(meet(hoods, most)), most), "ann-graph")
-        now = graph.agg(F.sum(F.aggregate("near", F.lit(0.0), lambda t, n: t - n["cost"]))).first()[0]
-        if total is None or now is None or now - total <= LEAST_GAIN * abs(now):
+        now = _total(graph)
+        if now - total <= LEAST_GAIN * abs(now):
             break
-        total = now
+        total, turn = now, turn + 1
     return graph
 
 
-def _product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+def least_scores(queries: DataFrame, nodes: DataFrame, k: int) -> dict[int, list[float]]:
+    """The ``k`` best scores with all other nodes, best first, of at most ``SAMPLE`` of the query nodes (q, vec)."""
+    sample = queries.orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()
+    if not sample:
+        return {}
+    asked = np.array([r["q"] for r in sample])
+    wanted = np.array([r["vec"] for r in sample], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            s = wanted @ _matrix(batch.column("vec")).T
+            s[asked[:, None] == batch.column("id").to_numpy()[None, :]] = -np.inf
+            best = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            row, at = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[row]), pa.array(best[row, at])], ["q", "s"])
+
+    found = nodes.select("id", "vec").mapInArrow(run, "q long, s double")
+    best = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, k)
+    return {r["q"]: r["best"] for r in found.groupBy("q").agg(best.alias("best")).collect()}
+
+
+def found_share(state: DataFrame, best: dict[int, list[float]], k: int) -> float:
+    """Share of the sample's true neighbours that the pools hold."""
+    if not best:
+        return 1.0
+    low = state.sparkSession.createDataFrame(
+        [(q, s[-1] - 1e-9 * max(1.0, abs(s[-1])), len(s)) for q, s in best.items()], "q long, low double, many int")
+    hits = state.where(F.col("q") != F.col("b")).join(F.broadcast(low), "q").where(F.col("s") >= F.col("low")).groupBy("q").agg(
+        F.least(F.count(F.lit(1)), F.first("many")).alias("hits")).agg(F.sum("hits")).first()[0]
+    return (hits or 0) / sum(map(len, best.values()))
+
+
+def expanded(asks: DataFrame) -> DataFrame:
+    """Offers (q, b, s): of each node's members those above the bounds of the queries that ask there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ask, members in zip(batch.column("asks"), batch.column("members"), strict=True):
+                ask, members = ask.values, members.values
+                s = _matrix(ask.field("vec")) @ _matrix(members.field("vec")).T
+                row, at = np.nonzero(s > ask.field("bound").to_numpy()[:, None])
+                found.append((ask.field("q").to_numpy()[row], members.field("a").to_numpy()[at], s[row, at]))
+            if found:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "b", "s"])
+
+    return asks.select("asks", "members").mapInArrow(run, "q long, b long, s double")
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pool: int = POOL) -> DataFrame:
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pool: int = POOL, k: int = 20) -> DataFrame:
     """Pools (q, b, s): for each query node the best nodes found."""
     vec = nodes.select("id", "vec")
-    asked = queries.select(F.col("id").alias("q")).distinct()
-    start = asked.join(vec, F.col("q") == F.col("id")).select("q", F.col("q").alias("b"), _product(F.col("vec"), F.col("vec")).alias("s"))
-    first = as_offers(graph).join(asked, F.col("a") == F.col("q"), "left_semi").select(F.col("a").alias("q"), "b", "s")
-    # the query's own neighbours are known: its node counts as expanded
-    state = stage(start.withColumn("done", F.lit(True)).union(first.withColumn("done", F.lit(False))), "ann-pool")
-    order = Window.partitionBy("q").orderBy(F.desc("s"), "b")  # at most the pool and one round's offers
-    links = graph.select(F.col("id").alias("b"), "near.b").toDF("b", "next")
-    for _ in range(SEARCH_ROUNDS):
-        fresh = state.where(~F.col("done")).join(links, "b").select("q", F.explode("next").alias("b")).distinct()
-        fresh = fresh.join(state.select("q", "b"), ["q", "b"], "left_anti")
-        scored = (
-            fresh.join(vec.toDF("b", "_vb"), "b").join(vec.toDF("q", "_vq"), "q")
-            .select("q", "b", _product(F.col("_vq"), F.col("_vb")).alias("s"), F.lit(False).alias("done")))
-        merged = state.withColumn("done", F.lit(True)).union(scored).withColumn("_rank", F.row_number().over(order))
-        state = stage(merged.where(F.col("_rank") <= pool).drop("_rank"), "ann-pool")
-        if state.where(~F.col("done")).isEmpty():
-            break
-    return state.select("q", "b", "s")
+    asked = stage(queries.select(F.col("id").alias("q")).distinct().join(
+        vec.withColumnRenamed("id", "q"), "q"), "ann-asked")
+    edges = _edges(graph)
+    # nodes that are nobody's neighbour are met from their own neighbours
+    links = edges.select("hub", F.col("b").alias("a")).union(
+        _backward(edges, F.col("cost"), NEIGHBOURS // 2).select("hub", "a")).distinct()
+    hoods = stage(links.join(vec.withColumnRenamed("id", "a"), "a").groupBy(F.col("hub").alias("b")).agg(
+        F.collect_list(F.struct("a", "vec")).alias("members")), "ann-hoods")
+    best = least_scores(asked, nodes, k)
+    every = nodes.count()
+    in_pool = Window.partitionBy("q")
+    order = in_pool.orderBy(F.desc("s"), "b")  # at most the pool and one round's offers
+
+    def settled(offers: DataFrame) -> DataFrame:
+        once = offers.repartition("q").groupBy("q", "b").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+        once = once.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pool)
+        full = F.count(F.lit(1)).over(in_pool) == pool
+        return stage(once.withColumn("bound", F.when(full, F.min("s").over(in_pool)).otherwise(
+            F.lit(float("-inf")))).drop("_rank"), "ann-pool")
+
+    # the query's own node is expanded first
+    own = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    state = settled(asked.select("q", F.col("q").alias("b"), own.alias("s"), F.lit(False).alias("done")))
+    while True:
+        while not (fresh := state.where(~F.col("done"))).isEmpty():
+            asks = fresh.join(asked, "q").groupBy("b").agg(F.collect_list(F.struct("q", "bound", "vec")).alias("asks"))
+            offers = expanded(asks.join(hoods, "b")).withColumn("done", F.lit(False))
+            state = settled(state.select("q", "b", "s", F.lit(True).alias("done")).union(offers))
+        if found_share(state, best, k) >= RECALL or pool >= every or state.where(
+                F.col("bound") > float("-inf")).isEmpty():
+            return state.select("q", "b", "s")
+        pool *= 2
+        # what the narrower pool dropped is offered again
+        state = settled(state.select("q", "b", "s", F.lit(False).alias("done")))
 
 
 def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -165,12 +266,12 @@ def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
     graph = neighbour_graph(nodes.select("id", "vec"))
     queries = stage(used.where(is_query).join(
         nodes.select("vec", F.col("id").alias("node")), "vec").select(F.col("id").alias("query_id"), "node"), "ann-queries")
-    pools = greedy_search(queries.select(F.col("node").alias("id")), nodes, graph)
+    pools = greedy_search(queries.select(F.col("node").alias("id")), nodes, graph, k=k)
     found = (
         queries.join(pools, F.col("node") == F.col("q"))
         .join(nodes.select(F.col("id").alias("b"), "ids"), "b")
         .select("query_id", F.explode("ids").alias("vec_id"), F.col("s").alias("score"))
         .where(F.col("query_id") != F.col("vec_id")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most POOL * (k + 1) rows
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most a pool times (k + 1) rows
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

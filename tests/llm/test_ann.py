@@ -1,6 +1,6 @@
 import numpy as np
 
-from salesprism.llm import queries
+from salesprism.llm import ann, queries
 
 from .. import conftest
 
@@ -52,3 +52,12 @@ def test_unusable_rows_and_copies(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.op5_nn_descent(spark, str(tmp_path)).count() == 0
+
+
+def test_search_goes_on_until_pools_are_settled(spark):
+    """On a chain whose far end is best, the way is as long as the table."""
+    nodes = spark.createDataFrame([(i, [float(i + 1)]) for i in range(30)], "id long, vec array<double>")
+    graph = spark.createDataFrame(
+        [(i, [(-float(i + 1) * (i + 2), i + 1, False)]) for i in range(29)], "id long, near array<struct<cost:double,b:long,new:boolean>>")
+    found = ann.greedy_search(nodes.where("id = 0"), nodes, graph, pool=10).collect()
+    assert {29, 28, 27, 26, 25} <= {r["b"] for r in found}
