@@ -1,15 +1,21 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-Blocks are the lines of a text, and the text as a whole; a block's set is
-its distinct words. A template is found where a block holds at least
-``CONTAINMENT`` of the template's distinct words. The filters:
-
+Blocks are the runs of words of a text, as long as the template's words
+divided by ``CONTAINMENT``, across line ends, so a wrapped notice is found and
+words scattered over a long text are not. A block's set is its distinct words.
+A template is found where a block holds at least ``CONTAINMENT`` of the
+template's distinct words. It is enough to look at blocks that start at one of
+these words. The filters:
+
+* text: a text that holds fewer than ``need`` of a template's words anywhere
+  has no block of it;
+* position: a block that starts at the k-th place of a template word must
+  reach the (k + need - 1)-th such place;
 * prefix: words are ordered by their frequency in all documents, rarest
   first. A block that holds ``need`` of a template's n words must hold one of
-  its n - need + 1 rarest, so blocks without one are passed over;
-* length: a block of fewer than ``need`` distinct words is passed over;
-* position: if the first template word that a block holds is the p-th
-  rarest, at most n - p + 1 can be common, so a p past the prefix rules it out.
+  its n - need + 1 rarest, so blocks without one are passed over.
+
+Of overlapping blocks that hold a template the fullest counts, then the first.
 
 The templates are a fixed specification, so they are literals of the plan;
 the frequencies come from one aggregate over all documents, reduced to the
@@ -22,6 +28,7 @@ other columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import ceil
 
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTAINMENT = 80  # hundredths of a template's words
+BLOCKS = "array<struct<common:int,start:bigint,end:bigint>>"
 
 # The base phrases and their labels.
 PHRASES = {
@@ -88,53 +96,83 @@ def rarest_first(docs: DataFrame, text_col: str, templates: dict[str, str]) -> d
     return {name: sorted(set(t.split()), key=lambda w: (seen.get(w, 0), w)) for name, t in templates.items()}
 
 
-def containments(blocks: Column, ordered: dict[str, list[str]]) -> dict[str, Column]:
-    """For each template the largest share of its words in one block, or null where no block reaches the threshold."""
-    return {name: _containment(blocks, tokens) for name, tokens in ordered.items()}
+def run_length(template: str) -> int:
+    """Words of a block for this template."""
+    return ceil(100 * len(template.split()) / CONTAINMENT)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def blocks_of(tokens: Column, held: Column, rarest: list[str], run: int) -> Column:
+    """Blocks (common, start, end; array) that hold a template, given as its distinct words, rarest first.
+
+    ``held`` are the distinct template words of the text; ``start`` is the
+    block's first template word and ``end`` is past its last.
+    """
+    need = ceil(CONTAINMENT * len(rarest) / 100)
+    every = F.array(*map(F.lit, rarest))
+    prefix = F.array(*map(F.lit, rarest[:len(rarest) - need + 1]))
+    spots = F.filter(
+        F.transform(tokens, lambda w, i: F.when(F.array_contains(every, w), i)), lambda i: i.isNotNull())
 
+    def block(k: Column, at: Column) -> Column:
+        start = F.get(at, k)
+        words_in = F.slice(tokens, start + 1, run)
+        last = F.array_max(F.filter(F.slice(at, k + 1, run), lambda j: j < start + run))
+        common = F.when(F.arrays_overlap(words_in, prefix), F.size(F.array_intersect(words_in, every))).otherwise(0)
+        return F.struct(common.alias("common"), start.cast("long").alias("start"), (last + 1).cast("long").alias("end"))
 
-def _containment(blocks: Column, tokens: list[str]) -> Column:
-    need = ceil(CONTAINMENT * len(tokens) / 100)
-    every = F.array(*map(F.lit, tokens))
-    prefix = F.array(*map(F.lit, tokens[:len(tokens) - need + 1]))
-    possible = F.filter(blocks, lambda b: (F.size(b) >= need) & F.arrays_overlap(b, prefix))
-    common = F.array_max(F.transform(possible, lambda b: F.size(F.array_intersect(b, every))))
-    return F.when(common >= need, common / F.lit(float(len(tokens))))
+    def found(at: Column) -> Column:
+        firsts = F.filter(
+            F.transform(at, lambda i, k: F.when(F.get(at, k + (need - 1)) - i < run, k)), lambda k: k.isNotNull())
+        return F.filter(F.transform(firsts, lambda k: block(k, at)), lambda b: b["common"] >= need)
+
+    none = F.array().cast(BLOCKS)
+
+    def fullest(kept: Column, b: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        apart = last.isNull() | (b["start"] >= last["end"])
+        return F.when(apart, F.concat(kept, F.array(b))).when(
+            b["common"] > last["common"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(b))).otherwise(kept)
+
+    possible = F.size(F.array_intersect(held, every)) >= need
+    return F.when(possible, F.aggregate(_let(spots, found).cast(BLOCKS), none, fullest)).otherwise(none)
 
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES,
 ) -> DataFrame:
-    """Per row: doc_id, n_words, places (label, start word; array), templates (label, containment; array)."""
+    """Per row: doc_id, n_words, places (label, start word; array), templates (label, share, start, end; array)."""
     ordered = rarest_first(docs, text_col, templates)
-    prefixes = F.array(*map(F.lit, sorted({
-        w for ts in ordered.values() for w in ts[:len(ts) - ceil(CONTAINMENT * len(ts) / 100) + 1]})))
-    least = min(ceil(CONTAINMENT * len(ts) / 100) for ts in ordered.values())
-    read = docs.select(F.col(id_col).alias("doc_id"), folded(F.col(text_col)).alias("_low"))
-    read = read.select("doc_id", "_low", words(F.col("_low")).alias("_words"))
+    known = F.array(*map(F.lit, sorted({w for ts in ordered.values() for w in ts})))
+    read = docs.select(F.col(id_col).alias("doc_id"), words(folded(F.col(text_col))).alias("_words"))
     tokens = F.col("_words")
-    whole = F.array_distinct(tokens)
-    # a text as a whole holds all that its lines hold, so it is tried first
-    some = (F.size(tokens) >= least) & F.arrays_overlap(tokens, prefixes)
-    lines = F.transform(F.split("_low", "\n"), lambda line: F.array_distinct(words(line)))
-    blocks = F.when(some, F.concat(F.array(whole), lines)).otherwise(F.array().cast("array<array<string>>"))
-    read = read.select("doc_id", "_words", blocks.alias("_blocks"))
+    read = read.select("doc_id", "_words", F.array_intersect(tokens, known).alias("_held"))
 
     def spots_of(phrase: str, label: str) -> Column:
         return F.transform(
             places(tokens, phrase), lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
 
     spots = [spots_of(phrase, label) for phrase, label in PHRASES.items()]
-    shares = containments(F.col("_blocks"), ordered)
-    hits = F.filter(
-        F.array(*(F.struct(F.lit(n).alias("label"), c.alias("share")) for n, c in shares.items())),
-        lambda h: h["share"].isNotNull())
+
+    def hits_of(name: str, rarest: list[str]) -> Column:
+        found = blocks_of(tokens, F.col("_held"), rarest, run_length(templates[name]))
+        return F.transform(found, lambda b: F.struct(
+            F.lit(name).alias("label"), (b["common"] / F.lit(float(len(rarest)))).alias("share"), b["start"], b["end"]))
+
+    hits = F.concat(*(hits_of(name, rarest) for name, rarest in ordered.items()))
     return read.select(
         "doc_id", F.size(tokens).cast("long").alias("n_words"), F.concat(*spots).alias("places"), hits.alias("templates"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts, first and last place, labels and a score: 1 for a phrase, else the largest containment, else 0."""
+    """Counts, first and last place, labels, a score (1 for a phrase, else the largest containment, else 0), blocks.
+
+    Blocks are spelled label:start-end, in words, the end not included.
+    """
     base = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["start"])
     more = F.transform("templates", lambda t: t["label"])
@@ -144,4 +182,6 @@ def report(found: DataFrame) -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(share).alias("score"))
+        F.when(F.size("places") > 0, 1.0).otherwise(share).alias("score"),
+        F.array_join(F.transform("templates", lambda t: F.concat(
+            t["label"], F.lit(":"), t["start"].cast("string"), F.lit("-"), t["end"].cast("string"))), ",").alias("blocks"))

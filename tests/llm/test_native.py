@@ -75,3 +75,17 @@ def test_pruned_join_finds_all_similar_pairs(spark):
     got = {(r["a"], r["b"]) for r in spotsigs.similar_pairs(df, df, 0.8).collect()}
     want = {(i, j) for i, a in rows for j, b in rows if a and b and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
     assert got == want
+
+
+def test_license_blocks_are_bounded(spark, tmp_path):
+    notice = license_scan.TEMPLATES["unlicense"].split()
+    scattered = " filler ".join(f"{w} {'x ' * 40}" for w in notice)
+    wrapped = "one two\n# " + "\n# ".join(" ".join(notice[i:i + 3]) for i in range(0, len(notice), 3)) + "\nthree"
+    twice = " ".join(notice) + " y" * 50 + " " + " ".join(notice)
+    rows = [(1, scattered), (2, wrapped), (3, twice), (4, " ".join(notice[:5]))]
+    got = {r["doc_id"]: r for r in queries.op10_license_scan(spark, frame(spark, tmp_path, rows)).collect()}
+    n = len(notice)
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["", "unlicense", "unlicense", ""]
+    assert [got[i]["score"] for i in (1, 2, 3, 4)] == [0, 1, 1, 0]
+    assert got[2]["blocks"] == f"unlicense:2-{n + 2}"
+    assert got[3]["blocks"] == f"unlicense:0-{n},unlicense:{n + 50}-{2 * n + 50}"
