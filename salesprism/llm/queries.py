@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm import ann, bpe, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs
+from salesprism.llm import (
+    ann, bpe, decontam, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs,
+)
 
 SHARDS = 40
 
@@ -81,6 +83,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(_documents(spark, sf_dir)))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontam.build_index(_documents(spark, sf_dir))
+    return decontam.report(decontam.find(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -93,6 +100,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": op8_spotsigs,
         "op10_license_scan": op10_license_scan,
         "op9_superminhash": op9_superminhash,
+        "op13_decontamination": op13_decontamination,
     }
 
 
