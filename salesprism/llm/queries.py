@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesprism.llm import (
-    ann, bpe, decontam, langid, license_scan, minhash, mixing, pii, secret_scan, sharding, spans, spotsigs,
+    ann, bpe, decontam, langid, license_scan, minhash, mixing, pii, runs, secret_scan, sharding,
+    spans, spotsigs,
 )
 
 SHARDS = 40
@@ -83,6 +84,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(_documents(spark, sf_dir)))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.detect(_documents(spark, sf_dir), runs.looped))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.build_index(_documents(spark, sf_dir))
     return decontam.report(decontam.find(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
@@ -100,6 +105,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": op8_spotsigs,
         "op10_license_scan": op10_license_scan,
         "op9_superminhash": op9_superminhash,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_decontamination": op13_decontamination,
     }
 
