@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesprism.llm import (
-    ann, bpe, decontam, langid, license_scan, minhash, mixing, pii, runs, secret_scan, sharding,
-    spans, spotsigs,
+    ann, bpe, decontam, langid, license_scan, minhash, mixing, pii, prefix_trie, runs, secret_scan,
+    sharding, spans, spotsigs,
 )
 
 SHARDS = 40
@@ -84,6 +84,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(_documents(spark, sf_dir)))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.build(prefix_trie.rebuilt(prefix_trie.sequences(turns)))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.detect(_documents(spark, sf_dir), runs.looped))
 
@@ -105,6 +110,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_spotsigs": op8_spotsigs,
         "op10_license_scan": op10_license_scan,
         "op9_superminhash": op9_superminhash,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_decontamination": op13_decontamination,
     }
