@@ -42,9 +42,9 @@ def normalize_space(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """A finite double, or null for anything that is not a plain number."""
-    text = strip(c)
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    # the pattern lets no word and no other spelling of a number through, so a cast of its match is finite or too large
+    number = F.regexp_extract(strip(c), NUMBER, 0).try_cast("double")
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def clean_price(c: Column | str) -> Column:
@@ -130,12 +130,8 @@ def clean_rating(c: Column | str) -> Column:
     )
 
 
-def parse_date(c: Column | str) -> Column:
-    """Day-first layouts, then month-first, chosen by the shape of each row's text; a time of day may follow.
-
-    The shape test keeps a layout from being tried on text it cannot fit: a
-    failed parse is an exception, far dearer than a pattern match.
-    """
+def date_pieces(c: Column | str) -> dict[str, Column]:
+    """The canonical day and the time of day of a date text, piece by piece; the day's shape selects its layout."""
     text = strip(c)
 
     def part(group: int) -> Column:
@@ -148,18 +144,34 @@ def parse_date(c: Column | str) -> Column:
     day = F.translate(day, "/.", "--")
     for digits, century in ((fixed.YEARS_OF_1900S, "19"), (fixed.YEARS_OF_2000S, "20")):
         day = F.regexp_replace(day, rf"^(?<day>[0-9]{{1,2}}-[0-9A-Za-z]{{1,3}}-)(?<year>{digits})$", f"${{day}}{century}${{year}}")
+    return {"whole": F.translate(text, "/", "-"), "day": day, "hour": part(2), "minute": part(3), "second": part(4),
+            "half": F.lower(part(5))}
+
+
+def date_from_pieces(p: dict[str, Column]) -> Column:
+    """Day-first layouts, then month-first, chosen by the shape of each row's text; a time of day may follow.
+
+    The shape test keeps a layout from being tried on text it cannot fit: a
+    failed parse is an exception, far dearer than a pattern match.
+    """
+    day, half = p["day"], p["half"]
     chain = F.when(day.rlike(fixed.ISO_DATE), day.try_cast("timestamp"))
     for shape, layouts in fixed.DATE_SHAPES:
         chain = chain.when(day.rlike(shape), F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in layouts]))
-    hour, half = part(2).try_cast("int"), F.lower(part(5))
+    hour = p["hour"].try_cast("int")
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    clock = F.when(part(2) == "", "00:00:00").otherwise(
-        F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(3), F.lit(":"), F.when(part(4) == "", "00").otherwise(part(4))))
-    whole = F.translate(text, "/", "-")
-    return F.when(whole.rlike(fixed.ISO_DATE) & (part(5) == ""), whole.try_cast("timestamp")).otherwise(
+    clock = F.when(p["hour"] == "", "00:00:00").otherwise(F.concat(
+        F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), p["minute"], F.lit(":"),
+        F.when(p["second"] == "", "00").otherwise(p["second"])))
+    return F.when(p["whole"].rlike(fixed.ISO_DATE) & (half == ""), p["whole"].try_cast("timestamp")).otherwise(
         F.concat(F.date_format(chain, "yyyy-MM-dd "), clock).try_cast("timestamp"))
 
 
+def parse_date(c: Column | str) -> Column:
+    """A date text as a timestamp, as one expression; null if no layout fits."""
+    return date_from_pieces(date_pieces(c))
+
+
 def clean_delivery_days(c: Column | str) -> Column:
     text = F.lower(strip(c))
     span = r"^([0-9]+)\s*-\s*([0-9]+)"

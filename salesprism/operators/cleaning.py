@@ -15,6 +15,22 @@ PRICE_COLUMNS = ("original_price_inr", "discounted_price_inr", "final_amount_inr
 DUPLICATE_KEYS = ("customer_id", "product_id", "order_date", "final_amount_inr")
 
 
+def parse_dates(df: DataFrame, column: str = "order_date", keep_bad: bool = True) -> DataFrame:
+    """``column`` as a timestamp; rows without a date go unless ``keep_bad``.
+
+    The pieces of the text are columns of a projection of their own, so they
+    are worked out once a row and not in each layout's branch. Rows without a
+    date are dropped by exploding the list of dates found, which has none or
+    one: a filter on the parsed column would be pushed below the projection
+    and parse every date a second time.
+    """
+    pieces = {f"_{name}": c for name, c in clean.date_pieces(column).items()}
+    cut = df.withColumns(pieces)
+    date = clean.date_from_pieces({name[1:]: F.col(name) for name in pieces})
+    found = date if keep_bad else F.explode(F.array_compact(F.array(date)))
+    return cut.withColumn("_date", found).withColumn(column, F.col("_date")).drop("_date", *pieces)
+
+
 def drop_bad_dates(df: DataFrame, column: str = "order_date") -> DataFrame:
     return df.where(F.col(column).isNotNull())
 
@@ -43,8 +59,7 @@ def flag_duplicates(
 
 def clean_rows(raw: DataFrame) -> DataFrame:
     """All row-wise cleaning of a raw text table, without any shuffle."""
-    df = raw.withColumns({"city": city_column(raw), "order_date": clean.parse_date("order_date")})
-    df = drop_bad_dates(df)
+    df = parse_dates(raw.withColumn("city", city_column(raw)), keep_bad=False)
     df = df.withColumns({c: clean.clean_price(c) for c in PRICE_COLUMNS if c in df.columns})
     fallbacks = ("final_amount_inr", "discounted_price_inr", "subtotal_inr", "original_price_inr")
     amount = clean.final_amount(*[c for c in fallbacks if c in df.columns])
@@ -67,8 +82,12 @@ def clean_rows(raw: DataFrame) -> DataFrame:
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
-    """Row cleaning plus the duplicate flag (its only shuffle)."""
-    df = clean_rows(raw)
+    """Row cleaning plus the duplicate flag (its only shuffle).
+
+    The flag reads the rows twice; they are cleaned once and stored, as
+    cleaning costs far more than writing and reading them.
+    """
+    df = stage(clean_rows(raw), "clean-rows")
     if all(c in df.columns for c in (*DUPLICATE_KEYS, "transaction_id")):
         return flag_duplicates(df)
     return df.withColumn("is_possible_duplicate", F.lit(False))

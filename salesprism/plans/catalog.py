@@ -177,7 +177,9 @@ def clean_bool(t: DataFrame) -> DataFrame:
 
 
 def parse_dates(t: DataFrame) -> DataFrame:
-    return _cleaned(t, "order_date", F.to_date(clean.parse_date("order_date")))
+    raw = dirty_transactions(t).select("order_date", F.col("order_date").alias("raw"))
+    table = cleaning.parse_dates(raw).select("raw", F.to_date("order_date").alias("cleaned"))
+    return table.groupBy("raw", "cleaned").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def final_amount(t: DataFrame) -> DataFrame:
@@ -201,8 +203,8 @@ def date_parts(t: DataFrame) -> DataFrame:
 
 
 def drop_bad_dates(t: DataFrame) -> DataFrame:
-    dated = dirty_transactions(t).select("payment_method", clean.parse_date("order_date").alias("order_date"))
-    return cleaning.drop_bad_dates(dated).groupBy("payment_method").agg(F.count(F.lit(1)).alias("rows"))
+    dated = cleaning.parse_dates(dirty_transactions(t).select("payment_method", "order_date"), keep_bad=False)
+    return dated.groupBy("payment_method").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def festival_keyword(t: DataFrame) -> DataFrame:

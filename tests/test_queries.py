@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from salesprism.plans.catalog import all_queries
+from salesprism.plans.oracle import all_oracles
 from tests.conftest import SMALL
 from tools.check_oracle import compare, connect
 
 ROWS_ONLY = {"scan_limit", "preview", "price_scatter"}
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -30,5 +32,9 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_entry_file_names_all_of_them():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["brand", "revenue"]
