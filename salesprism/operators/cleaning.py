@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions import cleaners as clean
-from salesprism.session import stage
+from salesprism.session import new_path, stage
+from salesprism.sources.readers import BAD_RECORD
 from salesprism.sources.schema import city_column, find_column
 
 PRICE_COLUMNS = ("original_price_inr", "discounted_price_inr", "final_amount_inr", "subtotal_inr")
@@ -81,6 +82,53 @@ def clean_rows(raw: DataFrame) -> DataFrame:
     return df.withColumns(cleaned).withColumn("order_value_segment", clean.value_segment("final_amount_inr"))
 
 
+REASONS = ("broken_record", "unparsed_date", "unparsed_price", "unparsed_rating")
+DROPPED_FOR = REASONS[:2]
+
+
+def reject_reasons(raw: DataFrame, amount: str = "final_amount_inr") -> DataFrame:
+    """``raw`` with ``reasons``: what is wrong with a row, in the order of ``REASONS``; empty if nothing is.
+
+    A broken record is one whose reader kept its text; nothing else is said
+    of it. A date that is missing or fits no layout is unparsed. A price or
+    rating is, if there is a text but no number in it.
+    """
+    dated = parse_dates(raw.withColumn("_raw_date", F.col("order_date")), "_raw_date")
+
+    def unread(column: str, value: Column) -> Column:
+        there = clean.strip(column) != ""
+        return F.coalesce(there & value.isNull(), F.lit(False)) if column in raw.columns else F.lit(False)
+
+    broken = F.col(BAD_RECORD).isNotNull() if BAD_RECORD in raw.columns else F.lit(False)
+    found = (
+        ~broken & F.col("_raw_date").isNull(), ~broken & unread(amount, clean.clean_price(amount)),
+        ~broken & unread("customer_rating", clean.clean_rating("customer_rating")))
+    named = F.array(F.when(broken, REASONS[0]), *[F.when(f, r) for f, r in zip(found, REASONS[1:], strict=True)])
+    return dated.withColumn("reasons", F.array_compact(named)).drop("_raw_date")
+
+
+def split_rejects(raw: DataFrame, drop_for: Sequence[str] = DROPPED_FOR) -> tuple[DataFrame, DataFrame]:
+    """(rows to clean, rejected rows), both with ``reasons``, from one pass over ``raw``.
+
+    A row is rejected if any of its reasons is in ``drop_for``. Both parts
+    are written in that pass, each into a folder of its own, as they came.
+    """
+    drop = F.arrays_overlap("reasons", F.array(*[F.lit(r) for r in drop_for])) if drop_for else F.lit(False)
+    marked = reject_reasons(raw).withColumn("rejected", F.coalesce(drop, F.lit(False)))
+    path = new_path(raw.sparkSession, "rejects")
+    marked.write.partitionBy("rejected").parquet(path)
+    both = raw.sparkSession.read.schema(marked.schema).parquet(path)
+    return both.where(~F.col("rejected")).drop("rejected"), both.where("rejected").drop("rejected")
+
+
+def reject_counts(kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows with each reason, among kept and among rejected rows, and all rows."""
+    both = kept.select("reasons", F.lit(0).alias("gone")).unionByName(rejected.select("reasons", F.lit(1).alias("gone")))
+    named = both.select("gone", F.explode(F.concat("reasons", F.array(F.lit("all")))).alias("reason"))
+    return named.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("gone").alias("rejected"), F.sum(1 - F.col("gone")).alias("kept"))
+
+
 def clean_transactions(raw: DataFrame) -> DataFrame:
     """Row cleaning plus the duplicate flag (its only shuffle).
 

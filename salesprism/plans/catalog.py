@@ -16,7 +16,7 @@ from salesprism.operators import aggregates as agg
 from salesprism.operators import basket, cleaning, customers, filters, forecasting, insights, pricing, ranking, sales
 from salesprism.plans.dirty import dirty_transactions
 from salesprism.session import new_path, stage
-from salesprism.sources import readers, schema, sinks
+from salesprism.sources import layout, readers, refresh, schema, sinks
 from salesprism.sources.tables import stored_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,63 @@ def report_export(t: DataFrame) -> DataFrame:
     return out
 
 
+# Layouts
+
+def clustered_lookup(t: DataFrame) -> DataFrame:
+    """Lines of one category and city, of one customer and of one product, from the clustered table."""
+    spark = t.sparkSession
+    path = layout.write_clustered(t, new_path(spark, "clustered"), files=4)
+    stored = spark.read.schema(t.schema).parquet(path)
+    ask = stored.agg(*[F.min(c).alias(c) for c in ("category", "city", "customer_id", "product_id")]).first()
+    found = [
+        stored.where((F.col("category") == ask.category) & (F.col("city") == ask.city)).select(F.lit("place").alias("lookup"), *LINE),
+        stored.where(F.col("customer_id") == ask.customer_id).select(F.lit("customer").alias("lookup"), *LINE),
+        stored.where(F.col("product_id") == ask.product_id).select(F.lit("product").alias("lookup"), *LINE),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def bucketed(t: DataFrame) -> DataFrame:
+    """The transactions in buckets by customer."""
+    spark = t.sparkSession
+    path = new_path(spark, "bucketed")
+    return layout.save_bucketed(t, f"transactions_{path[-32:]}", path, buckets=8)
+
+
+def refresh_year(t: DataFrame) -> DataFrame:
+    """Sales by year after one input file was replaced, one came and one went."""
+    spark, root = t.sparkSession, new_path(t.sparkSession, "refresh")
+    inputs, table = f"{root}/inputs", f"{root}/table"
+    lines = t.select("transaction_id", "order_year", "final_amount_inr")
+
+    def put(name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{inputs}/{name}")
+
+    def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+        return spark.read.schema(lines.schema).parquet(*paths)
+
+    early, odd = F.col("order_year") <= 1995, F.col("transaction_id") % 2 == 1
+    put("early", lines.where(early))
+    put("late-odd", lines.where(~early & odd))
+    put("gone", lines.where(F.col("order_year") == 1996).limit(10))
+    refresh.refresh(spark, read, inputs, table)
+    put("gone", lines.limit(0))
+    put("late-even", lines.where(~early & ~odd))
+    refresh.refresh(spark, read, inputs, table)
+    put("early", lines.where(early & odd))
+    refresh.refresh(spark, read, inputs, table)
+    return agg.sales_by_year(spark.read.parquet(table))
+
+
+def rejects(t: DataFrame) -> DataFrame:
+    """Rows of a raw CSV folder with each reason to reject them; every 97th order has a line cut short."""
+    spark, raw = t.sparkSession, dirty_transactions(t)
+    path = sinks.write_csv(raw, new_path(spark, "raw-csv"))
+    short = t.where(F.col("transaction_id") % 97 == 0).select(F.concat("transaction_id", F.lit(",cut short")).alias(",".join(raw.columns)))
+    short.write.mode("append").options(header=True, sep="\u0001", quote="\u0000").csv(path)
+    return cleaning.reject_counts(*cleaning.split_rejects(readers.read_csv(spark, path, raw.schema)))
+
+
 # Schema
 
 def normalize_columns(t: DataFrame) -> DataFrame:
@@ -357,6 +414,11 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "scan_limit": lambda t: t.limit(1),
     "sink_table": sink_table,
     "sink_csv": sink_csv,
+    "clustered_lookup": clustered_lookup,
+    "customer_summary_bucketed": lambda t: customers.customer_summary(bucketed(t)),
+    "last_category_bucketed": lambda t: customers.last_category(bucketed(t)),
+    "refresh_year": refresh_year,
+    "rejects": rejects,
     "export_churned": lambda t: customers.churned_customers(customers.churn_scores(t)),
     "report_export": report_export,
     "report_filtered_data": lambda t: report_tables(t)["filtered_data"],

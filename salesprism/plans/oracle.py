@@ -453,12 +453,24 @@ TOP_VALUES = ("(SELECT string_agg(concat(coalesce({c}, 'nan'), '(', n, ')'), ';
 
 CATEGORY_PERFORMANCE = by("category", f", count({AMT}) AS count, round(avg({AMT}), 4) AS avg")
 
+REJECTS = (
+    f"r0 AS (SELECT {date('order_date')} IS NULL AS bad_date, coalesce(trim(final_amount_inr) <> '' AND {price('final_amount_inr')} IS NULL, FALSE) AS bad_price, "
+    f"coalesce(trim(customer_rating) <> '' AND {rating('customer_rating')} IS NULL, FALSE) AS bad_rating, FALSE AS broken FROM d "
+    "UNION ALL SELECT FALSE, FALSE, FALSE, TRUE FROM t WHERE transaction_id % 97 = 0)",
+    "r1 AS (SELECT unnest([CASE WHEN broken THEN 'broken_record' END, CASE WHEN bad_date THEN 'unparsed_date' END, CASE WHEN bad_price THEN 'unparsed_price' END, "
+    "CASE WHEN bad_rating THEN 'unparsed_rating' END, 'all']) AS reason, broken OR bad_date AS gone FROM r0)",
+)
 SQL: dict[str, str] = {
     # sources and sinks
     "scan_csv": dirty("SELECT payment_method, count(*) AS rows, count(nullif(final_amount_inr, '')) AS amounts, count(DISTINCT nullif(city, '')) AS cities FROM d GROUP BY 1"),
     "scan_table": q("SELECT zone, count(*) AS rows, round(sum(quantity), 4) AS quantity FROM t GROUP BY 1"),
     "sink_table": by("order_year", ", count(transaction_id) AS orders"),
     "sink_csv": CATEGORY_PERFORMANCE,
+    "clustered_lookup": q(" UNION ALL ".join(
+        f"SELECT '{name}' AS lookup, {LINE} FROM t WHERE " + " AND ".join(f"{c} = (SELECT min({c}) FROM t)" for c in columns)
+        for name, columns in (("place", ("category", "city")), ("customer", ("customer_id",)), ("product", ("product_id",))))),
+    "refresh_year": by("order_year", ", count(transaction_id) AS orders", "order_year > 1995 OR transaction_id % 2 = 1"),
+    "rejects": dirty("SELECT reason, count(*) AS rows, count(*) FILTER (gone) AS rejected, count(*) FILTER (NOT gone) AS kept FROM r1 WHERE reason IS NOT NULL GROUP BY 1", *REJECTS),
     "export_churned": q(f"SELECT {CHURN_COLUMNS} FROM ch WHERE is_churned = 1", *CHURN),
     "report_export": q(
         f"SELECT 'filtered_data' AS table_name, count(*) AS rows FROM f UNION ALL SELECT 'kpis', 1 UNION ALL "
@@ -635,5 +647,10 @@ SQL: dict[str, str] = {
 }
 
 
+# stored otherwise, the same answers
+SQL["customer_summary_bucketed"] = SQL["customer_summary"]
+SQL["last_category_bucketed"] = SQL["last_category"]
+
+
 def all_oracles() -> dict[str, str]:
     return dict(SQL)

@@ -32,18 +32,6 @@ def write_transactions(
     return path
 
 
-def save_transactions_table(df: DataFrame, name: str, buckets: int, key: str = "customer_id") -> None:
-    """Replace a catalog table bucketed on ``key``, so joins and groups on it skip the shuffle."""
-    (
-        df.write.mode("overwrite")
-        .partitionBy("order_year")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .format("parquet")
-        .saveAsTable(name)
-    )
-
-
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """One folder of CSV files. ``single_file`` is for tables bounded by a limit.
 
