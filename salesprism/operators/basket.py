@@ -80,26 +80,33 @@ def item_sets(df: DataFrame, basket: str = "transaction_id", item: str = "produc
 def rules(sets: DataFrame, min_confidence: float = 0.3) -> DataFrame:
     """Rules between any two parts of a frequent set, with confidence, lift, leverage and conviction.
 
-    Each set is split into every antecedent and its consequent, so both sides
-    may have several items; the parts' supports come from two joins on the
-    sets themselves. A set has as many items as its baskets share frequent
-    items, and 2^k splits.
+    Both sides may have several items. Consequents grow level by level: for
+    one set, moving an item from the antecedent to the consequent can only
+    lower the confidence, so a consequent is tried only if it is one that
+    passed, with one more item that passed alone. A level is at most the
+    rules that passed times the items of a set; sets without strong rules end
+    after one.
     """
-    empty = F.array().cast("array<string>")
-
-    def with_item(all_subsets: Column, x: Column) -> Column:
-        return F.concat(all_subsets, F.transform(all_subsets, lambda s: F.concat(s, F.array(x))))
-
-    splits = (
-        sets.where(F.size("items") > 1)
-        .select("items", "support", F.explode(F.aggregate("items", F.array(empty), with_item)).alias("antecedent"))
-        .where((F.size("antecedent") > 0) & (F.size("antecedent") < F.size("items")))
-        .withColumn("consequent", F.array_except("items", "antecedent"))
-    )
-    left = sets.select(F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support"))
+    sets = stage(sets, "item-sets")
+    known = sets.select(F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support"))
+
+    def passing(tried: DataFrame) -> DataFrame:
+        split = tried.withColumn("antecedent", F.array_except("items", "consequent")).join(known, "antecedent")
+        strong = split.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+        return stage(strong.where(F.col("confidence") >= min_confidence), "rules")
+
+    several = sets.where(F.size("items") > 1).select("items", "support")
+    level = passing(several.withColumn("_x", F.explode("items")).withColumn("consequent", F.array("_x")).drop("_x"))
+    alone = level.groupBy("items").agg(F.sort_array(F.collect_list(F.col("consequent")[0])).alias("_alone"))
+    found = None
+    while not level.isEmpty():
+        found = level if found is None else found.unionByName(level)
+        more = F.filter("_alone", lambda x: x > F.element_at("consequent", -1))
+        longer = level.where(F.size("consequent") < F.size("items") - 1).select("items", "support", "consequent").join(alone, "items")
+        level = passing(longer.select("items", "support", "consequent", F.explode(more).alias("_x")).select(
+            "items", "support", F.concat("consequent", F.array("_x")).alias("consequent")))
     right = sets.select(F.col("items").alias("consequent"), F.col("support").alias("consequent_support"))
-    confidence = F.col("support") / F.col("antecedent_support")
-    table = splits.join(left, "antecedent").join(right, "consequent").withColumn("confidence", confidence)
+    table = (level if found is None else found).join(right, "consequent")
     return table.where(F.col("confidence") >= min_confidence).select(
         "antecedent", "consequent", "antecedent_support", "consequent_support", "support", "confidence",
         (F.col("confidence") / F.col("consequent_support")).alias("lift"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesprism.operators import sampling
 from salesprism.operators.aggregates import AMOUNT, drop_null_keys, total
 from salesprism.operators.filters import sellable
 from salesprism.operators.ranking import equal_width_bin
@@ -104,15 +105,16 @@ def best_band_per_product(bands: DataFrame, product: str = "product_name") -> Da
     )
 
 
+POINT_KEY = ("transaction_id", "product_id", "customer_id", "delivery_days")
+
+
 def price_points(rows: DataFrame, size: int = 50_000, seed: int = 42) -> DataFrame:
-    """A random sample of price and quantity for a scatter plot, all rows if fewer.
+    """Price and quantity of at most ``size`` rows for a scatter plot, each product with about equally many.
 
-    Rows are thinned first, so the final limit merges little more than the
-    sample. The margin makes a short sample all but impossible.
+    The rows with the least keyed hashes of each product are taken, so the
+    same rows come from any layout.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    keep = F.least(F.lit(1.0), F.lit(1.1 * size + 1000) / F.greatest(n, F.lit(1)))
-    return (
-        rows.select("product_name", "price", "quantity", "revenue", F.rand(seed).alias("_r"))
-        .where(F.col("_r") < keep).orderBy("_r").limit(size).drop("_r")
-    )
+    products = rows.agg(F.count_distinct("product_name").alias("n")).first()["n"]
+    share = max(1, size // max(1, products))
+    picked = sampling.bottom_k(rows, "product_name", POINT_KEY, share, seed, ties=("price", "quantity"))
+    return picked.orderBy("_hash", "price", "quantity").limit(size).select("product_name", "price", "quantity", "revenue")

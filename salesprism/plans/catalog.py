@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesprism.functions import cleaners as clean
 from salesprism.operators import aggregates as agg
-from salesprism.operators import basket, cleaning, customers, filters, forecasting, insights, pricing, ranking, sales
+from salesprism.operators import basket, cleaning, customers, filters, forecasting, insights, pricing, ranking, sales, sketches
 from salesprism.plans.dirty import dirty_transactions
 from salesprism.session import new_path, stage
 from salesprism.sources import layout, readers, refresh, schema, sinks
@@ -108,6 +108,28 @@ def report_export(t: DataFrame) -> DataFrame:
     return out
 
 
+# Sketches
+
+def distinct_rollup(t: DataFrame) -> DataFrame:
+    """Distinct customers by category, by year, in a filter panel, and shared by two categories, all from stored cells."""
+    cells = sketches.distinct_cells(t).withColumn("order_year", F.year("month"))
+
+    def part(name: str, label: Column, table: DataFrame) -> DataFrame:
+        return table.select(F.lit(name).alias("segment"), label.cast("string").alias("name"), "customers")
+
+    panel = F.col("order_year").isin(PANEL["years"]) & F.col("category").isin(PANEL["categories"])
+    both = sketches.distinct_in_both(cells, F.col("category") == "ECONOMY", F.col("category") == "PROMO")
+    return part("category", F.col("category"), sketches.distinct_by(cells, ["category"])).unionByName(
+        part("year", F.col("order_year"), sketches.distinct_by(cells, ["order_year"]))).unionByName(
+        part("panel", F.lit("all"), sketches.distinct_by(cells, [], panel))).unionByName(
+        part("both", F.lit("ECONOMY and PROMO"), both.withColumnRenamed("in_both", "customers")))
+
+
+def quantile_rollup(t: DataFrame) -> DataFrame:
+    cells = sketches.quantile_cells(t, "final_amount_inr")
+    return sketches.quantiles_by(cells, ["order_year"], (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
 # Layouts
 
 def clustered_lookup(t: DataFrame) -> DataFrame:
@@ -411,7 +433,7 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # sources and sinks
     "scan_csv": scan_csv,
     "scan_table": scan_table,
-    "scan_limit": lambda t: t.limit(1),
+    "scan_limit": lambda t: readers.preview(t.select(*LINE), 1, LINE),
     "sink_table": sink_table,
     "sink_csv": sink_csv,
     "clustered_lookup": clustered_lookup,
@@ -432,7 +454,7 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "overview": insights.overview,
     "return_insights": lambda t: insights.return_insights(sales.with_returns(t)),
     "churn_insights": insights.churn_insights,
-    "preview": lambda t: readers.preview(t, 100),
+    "preview": lambda t: readers.preview(t.select(*LINE), 100, LINE),
     "shape": readers.shape,
     # schema and projection
     "normalize_columns": normalize_columns,
@@ -520,6 +542,9 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "product_demand": lambda t: demand(t, "product_name"),
     "price_kpis": lambda t: pricing.price_kpis(pricing.priced(t)),
     "price_scatter": lambda t: pricing.price_points(pricing.priced(t)),
+    "distinct_rollup": distinct_rollup,
+    "quantile_rollup": quantile_rollup,
+    "top_values_bounded": lambda t: sketches.top_values_of(t, ("product_name", "brand", "customer_id", "category")),
     "topn": lambda t: agg.value_counts(t, "brand", 3),
     # ranks, bins and positions
     "order_rank": order_rank,
@@ -598,7 +623,7 @@ _TOTALS = ("kpis", "profit_kpis", "report_kpis", "return_kpis", "festival_share"
 _SOLVED = ("seasonal_ar_forecast", "brand_seasonal_ar_forecast")
 DIGITS: dict[str, int | dict[str, int]] = {
     "customer_describe": {"q25": 6, "q50": 6, "q75": 6}, **dict.fromkeys(_PROFIT, 5), **dict.fromkeys(_BANDS, {"avg_price": 2}),
-    **dict.fromkeys(_TOTALS, 2), **dict.fromkeys(_SOLVED, 1),
+    "price_scatter": {"price": 15}, **dict.fromkeys(_TOTALS, 2), **dict.fromkeys(_SOLVED, 1),
 }
 
 

@@ -548,6 +548,19 @@ SQL: dict[str, str] = {
     "customer_kpis": q(f"SELECT count(*) AS total_customers, count(*) FILTER (n > 1) AS repeat_customers, count(*) FILTER (prime) AS prime_customers, count(*) FILTER (NOT prime) AS non_prime_customers, round(avg(s), 4) AS avg_spend FROM (SELECT customer_id, count(*) AS n, bool_or(is_prime_member) AS prime, sum({AMT}) AS s FROM t GROUP BY 1)"),
     "tier_revenue": by("customer_tier"),
     "age_revenue": by("customer_age_group"),
+    "scan_limit": q(f"SELECT {LINE} FROM t ORDER BY transaction_id, product_id, customer_id, t.order_date, t.final_amount_inr LIMIT 1"),
+    "preview": q(f"SELECT {LINE} FROM t ORDER BY transaction_id, customer_id, product_id, t.order_date, t.final_amount_inr LIMIT 100"),
+    "price_scatter": q("SELECT product_name, price, quantity, round(final_amount_inr, 4) AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY h, price, quantity) AS r "
+        "FROM (SELECT *, md5(concat_ws('|', '42', concat('=', transaction_id), concat('=', product_id), concat('=', customer_id), concat('=', delivery_days))) AS h FROM pr)) "
+        "WHERE r <= greatest(1, 50000 // (SELECT count(DISTINCT product_name) FROM pr)) ORDER BY h, price, quantity LIMIT 50000", PRICED[0]),
+    "distinct_rollup": q("SELECT 'category' AS segment, category AS name, count(DISTINCT customer_id) AS customers FROM t GROUP BY category "
+        "UNION ALL SELECT 'year', CAST(order_year AS VARCHAR), count(DISTINCT customer_id) FROM t GROUP BY order_year "
+        "UNION ALL SELECT 'panel', 'all', count(DISTINCT customer_id) FROM t WHERE order_year IN (1999, 2000, 2001) AND category IN ('ECONOMY', 'LARGE', 'PROMO') "
+        "UNION ALL SELECT 'both', 'ECONOMY and PROMO', count(*) FROM (SELECT customer_id FROM t WHERE category = 'ECONOMY' INTERSECT SELECT customer_id FROM t WHERE category = 'PROMO')"),
+    "quantile_rollup": q("SELECT order_year, p, rows, round(value, 4) AS value FROM (SELECT order_year, count(*) AS rows, unnest(CAST([0.05, 0.25, 0.5, 0.75, 0.95] AS DOUBLE[])) AS p, "
+        "unnest(quantile_disc(final_amount_inr, [0.05, 0.25, 0.5, 0.75, 0.95])) AS value FROM t GROUP BY 1)"),
+    "top_values_bounded": q(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS dim, CAST({c} AS VARCHAR) AS value, count(*) AS rows FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 3 DESC, {c} LIMIT 5)"
+        for c in ("product_name", "brand", "customer_id", "category"))),
     "distinct_counts": q("SELECT count(DISTINCT product_name) AS n_product_name, count(DISTINCT product_id) AS n_product_id, count(DISTINCT customer_state) AS n_customer_state, count(DISTINCT date_trunc('month', order_date)) AS n_month FROM t"),
     "delivery_by_state": q("SELECT customer_state, round(avg(delivery_days), 4) AS avg_delivery_days FROM t GROUP BY 1"),
     "festival_delivery_delta": q("SELECT round(avg(delivery_days), 4) AS avg_delivery, round(f, 4) AS festival, round(n, 4) AS normal, round(f - n, 4) AS delta, abs(f - n) >= 0.3 AS notable FROM (SELECT avg(delivery_days) AS delivery_days, avg(delivery_days) FILTER (is_festival_sale) AS f, avg(delivery_days) FILTER (NOT is_festival_sale) AS n FROM t) GROUP BY f, n"),

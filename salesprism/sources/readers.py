@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,9 @@ def read_database(
     )
 
 
-def preview(df: DataFrame, rows: int = 100) -> DataFrame:
-    """The first rows a person looks at."""
-    return df.limit(rows)
+def preview(df: DataFrame, rows: int = 100, order: Sequence[str] = ()) -> DataFrame:
+    """The first rows a person looks at: by ``order``, so that they are the same each time, or any at all."""
+    return df.orderBy(*order).limit(rows) if order else df.limit(rows)
 
 
 def shape(df: DataFrame) -> DataFrame:
