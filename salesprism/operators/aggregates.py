@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions.cleaners import month_start, percent
+from salesprism.session import stage
 
 AMOUNT = "final_amount_inr"
 
@@ -99,9 +100,11 @@ def sales_monthly(df: DataFrame) -> DataFrame:
 def month_year_matrix(df: DataFrame) -> DataFrame:
     """Months down, the years of the data across, 0 where nothing was sold.
 
-    The years are read from the data in a small job of their own, so no year is left out.
+    The years are those of the data, so no year is left out. They and the cells
+    are read from the sums per month, which are made once and stored.
     """
     sums = drop_null_keys(df, ["order_month", "order_year"]).groupBy("order_month", "order_year").agg(F.sum(AMOUNT).alias("_sum"))
+    sums = stage(sums, "month-sums")
     wide = sums.groupBy("order_month").pivot("order_year").agg(F.sum("_sum")).na.fill(0.0)
     return wide.withColumnsRenamed({c: f"y{c}" for c in wide.columns if c != "order_month"}).orderBy("order_month")
 

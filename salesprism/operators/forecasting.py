@@ -167,3 +167,103 @@ def seasonal_ar_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: i
     out = future.select(*by, "last_month", F.posexplode("f").alias("i", "forecast")).select(
         *by, F.add_months("last_month", F.col("i") + 1).alias("month"), "forecast")
     return out if keys else out.drop(SERIES)
+
+
+LONG_LAGS = (1, 2, 3, SEASON, SEASON + 1, SEASON + 2)
+ARMA_LAGS = (1, SEASON)
+
+
+def solve(system: Column, size: int) -> Column:
+    """Solution of ``size`` linear equations, given as rows of coefficients and right side; null where there is no single one.
+
+    Gauss-Jordan elimination down the diagonal, which suits the positive
+    definite normal equations of a regression.
+    """
+    scale = F.transform(system, lambda row, i: F.abs(F.get(row, i)))
+
+    def eliminate(rows: Column, k: Column) -> Column:
+        own = F.get(rows, k)
+        pivot = F.when(F.abs(F.get(own, k)) > 1e-9 * F.get(scale, k), F.get(own, k))
+        scaled = F.transform(own, lambda x: x / pivot)
+        return F.transform(rows, lambda row, i: F.when(i == k, scaled).otherwise(
+            F.zip_with(row, scaled, lambda x, y: x - y * F.get(row, k))))
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), system, eliminate)
+    return F.transform(done, lambda row: F.get(row, F.lit(size)))
+
+
+def least_squares(rows: DataFrame, by: Sequence[str], target: str, regressors: Sequence[str], name: str) -> DataFrame:
+    """Coefficients of ``target`` on ``regressors`` for each group, from grouped sums; zeros where they are not determined.
+
+    Rows with a null in any of them take no part. There is no constant.
+    """
+    ready = F.lit(True)
+    for c in (target, *regressors):
+        ready = ready & F.col(c).isNotNull()
+
+    def moment(a: str, b: str) -> Column:
+        return F.coalesce(F.sum(F.when(ready, F.col(a) * F.col(b))), F.lit(0.0))
+
+    system = F.array(*[F.array(*[moment(a, b) for b in (*regressors, target)]) for a in regressors])
+    found = rows.groupBy(*by).agg(system.alias("_system"))
+    return found.select(*by, F.transform(solve(F.col("_system"), len(regressors)), lambda x: F.coalesce(x, F.lit(0.0))).alias(name))
+
+
+def seasonal_arma_fit(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each month's ``y``, its double difference ``w``, the shock ``e`` and the coefficients ``arma`` of its series.
+
+    Hannan-Rissanen in two regressions: a long autoregression of ``w`` on
+    ``LONG_LAGS`` leaves residuals that stand in for the shocks; then ``w`` is
+    regressed on ``w`` and ``e`` at ``ARMA_LAGS``, which gives the two
+    autoregressive and the two moving-average terms. Products of the plain
+    and the seasonal terms are left out. Months without all lags have no shock.
+    """
+    named, by = _named(fill_months(series, keys), keys)
+    order = Window.partitionBy(*by).orderBy("month")
+
+    def lagged(df: DataFrame, value: str, lags: Sequence[int]) -> DataFrame:
+        return df.withColumns({f"_{value}{n}": F.lag(value, n).over(order) for n in lags})
+
+    y = named.withColumn("y", F.col("value").cast("double"))
+    w = y.withColumn("w", F.col("y") - F.lag("y", 1).over(order) - F.lag("y", SEASON).over(order) + F.lag("y", SEASON + 1).over(order))
+    long = lagged(w, "w", LONG_LAGS)
+    terms = [f"_w{n}" for n in LONG_LAGS]
+    shocks = long.join(least_squares(long, by, "w", terms, "_long"), by)
+    expected = sum((F.col("_long")[i] * F.col(c) for i, c in enumerate(terms)), F.lit(0.0))
+    shocks = shocks.withColumn("e", F.col("w") - expected).select(*by, "month", "y", "w", "e")
+    short = lagged(lagged(shocks, "w", ARMA_LAGS), "e", ARMA_LAGS)
+    names = [f"_{v}{n}" for v in "we" for n in ARMA_LAGS]
+    return shocks.join(least_squares(short, by, "w", names, "arma"), by)
+
+
+def seasonal_arma_forecast(series: DataFrame, keys: Sequence[str] = (), horizon: int = 12) -> DataFrame:
+    """Seasonal ARMA forecast of the doubly differenced series, integrated back; future shocks are 0.
+
+    A series too short for the regressions repeats last year's steps, one of
+    under 13 months its last value.
+    """
+    fitted = seasonal_arma_fit(series, keys)
+    by = list(keys) or [SERIES]
+    point = F.struct("month", "y", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("e", F.lit(0.0)).alias("e"))
+    whole = fitted.groupBy(*by).agg(F.any_value("arma").alias("arma"), F.array_sort(F.collect_list(point)).alias("points"))
+    start = whole.select(
+        *by, "arma", "points", F.element_at("points", -1)["month"].alias("last_month"),
+        *[F.col("points")[v].alias(f"{v}s") for v in "ywe"])
+
+    def back(values: Column, steps: int) -> Column:
+        return F.coalesce(F.try_element_at(values, F.lit(-steps)), F.lit(0.0))
+
+    def step(state: Column, _: Column) -> Column:
+        ys, ws, es = state["ys"], state["ws"], state["es"]
+        terms = [back(ws, n) for n in ARMA_LAGS] + [back(es, n) for n in ARMA_LAGS]
+        next_w = sum((F.col("arma")[i] * x for i, x in enumerate(terms)), F.lit(0.0))
+        seasonal = next_w + back(ys, 1) + back(ys, SEASON) - back(ys, SEASON + 1)
+        next_y = F.when(F.size("points") > SEASON, seasonal).otherwise(back(ys, 1))
+        return F.struct(*[F.concat(old, F.array(new)).alias(name) for old, new, name in (
+            (ys, next_y, "ys"), (ws, next_w, "ws"), (es, F.lit(0.0), "es"))])
+
+    rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.struct("ys", "ws", "es"), step)
+    future = start.select(*by, "last_month", F.slice(rolled["ys"], F.size("ys") + 1, F.lit(horizon)).alias("f"))
+    out = future.select(*by, "last_month", F.posexplode("f").alias("i", "forecast")).select(
+        *by, F.add_months("last_month", F.col("i") + 1).alias("month"), "forecast")
+    return out if keys else out.drop(SERIES)

@@ -97,17 +97,49 @@ def report_tables(t: DataFrame) -> dict[str, DataFrame]:
 
 
 def report_export(t: DataFrame) -> DataFrame:
-    """Write the bundle and read back each table's row count."""
+    """Write the bundle and read back each table's row count, which is the one counted on writing."""
     spark, folder = t.sparkSession, new_path(t.sparkSession, "report")
-    names = sinks.write_report(report_tables(t), folder)
+    written = sinks.write_report(report_tables(t), folder)
     out = None
-    for name in names:
+    for name in written:
         one = spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(name).alias("table_name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def export_churned(t: DataFrame) -> DataFrame:
+    """The list of churned customers, written as CSV and read back."""
+    table = rounded(customers.churned_customers(customers.churn_scores(t)))
+    path = sinks.write_csv(table, new_path(t.sparkSession, "churned"))
+    return t.sparkSession.read.option("header", True).schema(table.schema).csv(path)
+
+
+def report_revenue(t: DataFrame) -> DataFrame:
+    """Revenue of each zone as each report takes it, from tables that have all amounts, some, and unit prices only."""
+    tables = {
+        "all": t.withColumns({"revenue": F.col("final_amount_inr"), "selling_price": F.col("discounted_price_inr")}),
+        "some": t.select("zone", "quantity", "discounted_price_inr", "subtotal_inr"),
+        "unit": t.select("zone", "quantity", "discounted_price_inr"),
+    }
+    out = None
+    for report in schema.REVENUE_CANDIDATES:
+        for name, table in tables.items():
+            if name == "unit" and report in ("returns", "export"):
+                continue  # these reports need an amount
+            one = table.withColumn("_amount", schema.report_revenue(table, report)).groupBy("zone").agg(
+                agg.total("_amount").alias("revenue")).select(F.lit(report).alias("report"), F.lit(name).alias("columns"), "zone", "revenue")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def filter_places(t: DataFrame) -> DataFrame:
+    """The filter panel's choice of states and of cities."""
+    first = t.agg(F.min("customer_state").alias("s"), F.max("city").alias("c")).first()
+    return filters.apply_filters(t, states=[first.s]).select(F.lit("state").alias("panel"), *LINE).unionByName(
+        filters.apply_filters(t, cities=[first.c]).select(F.lit("city").alias("panel"), *LINE))
+
+
 # Sketches
 
 def distinct_rollup(t: DataFrame) -> DataFrame:
@@ -441,8 +473,10 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "last_category_bucketed": lambda t: customers.last_category(bucketed(t)),
     "refresh_year": refresh_year,
     "rejects": rejects,
-    "export_churned": lambda t: customers.churned_customers(customers.churn_scores(t)),
+    "export_churned": export_churned,
     "report_export": report_export,
+    "report_revenue": report_revenue,
+    "filter_places": filter_places,
     "report_filtered_data": lambda t: report_tables(t)["filtered_data"],
     "report_kpis": lambda t: report_tables(t)["kpis"],
     "report_monthly": lambda t: report_tables(t)["monthly_revenue"],
@@ -607,6 +641,9 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "seasonal_ar_forecast": lambda t: forecasting.seasonal_ar_forecast(forecasting.monthly_series(t)),
     "brand_seasonal_ar_forecast": lambda t: forecasting.seasonal_ar_forecast(
         forecasting.monthly_series(t, ["brand"]), ["brand"]),
+    "seasonal_arma_forecast": lambda t: forecasting.seasonal_arma_forecast(forecasting.monthly_series(t)),
+    "brand_seasonal_arma_forecast": lambda t: forecasting.seasonal_arma_forecast(
+        forecasting.monthly_series(t, ["brand"]), ["brand"]),
     "basket_pairs": lambda t: basket.item_pairs(t, item="category"),
     "basket_pairs_brand": lambda t: basket.item_pairs(t, item="brand"),
     "freq_itemsets": freq_itemsets,
@@ -620,7 +657,7 @@ ON_TRANSACTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
 _PROFIT = ("profit_by_category", "profit_monthly", "profit_monthly_long", "discount_profit_points")
 _BANDS = ("product_bands", "product_best_band", "revenue_curve", "best_price_band")
 _TOTALS = ("kpis", "profit_kpis", "report_kpis", "return_kpis", "festival_share", "insights", "overview")
-_SOLVED = ("seasonal_ar_forecast", "brand_seasonal_ar_forecast")
+_SOLVED = ("seasonal_ar_forecast", "brand_seasonal_ar_forecast", "seasonal_arma_forecast", "brand_seasonal_arma_forecast")
 DIGITS: dict[str, int | dict[str, int]] = {
     "customer_describe": {"q25": 6, "q50": 6, "q75": 6}, **dict.fromkeys(_PROFIT, 5), **dict.fromkeys(_BANDS, {"avg_price": 2}),
     "price_scatter": {"price": 15}, **dict.fromkeys(_TOTALS, 2), **dict.fromkeys(_SOLVED, 1),

@@ -333,6 +333,46 @@ def seasonal_ctes(source: str) -> tuple[str, ...]:
     )
 
 
+def normal_ctes(name: str, table: str, target: str, regressors: list[str]) -> list[str]:
+    """Least squares by elimination, one step a named table; the coefficients are ``c`` of ``name``."""
+    n, columns = len(regressors), [*regressors, target]
+    ready = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    sums = ", ".join(f"coalesce(sum({columns[i]} * {columns[j]}) FILTER ({ready}), 0.0) AS m{i}_{j}" for i, j in cells)
+    out = [f"{name}_s AS (SELECT k, {sums} FROM {table} GROUP BY k)",
+           f"{name}_0 AS (SELECT *, " + ", ".join(f"abs(m{i}_{i}) AS z{i}" for i in range(n)) + f" FROM {name}_s)"]
+    scales = ", ".join(f"z{i}" for i in range(n))
+    for p in range(n):
+        pivot = f"(CASE WHEN abs(m{p}_{p}) > 1e-9 * z{p} THEN m{p}_{p} END)"
+        now = ", ".join(f"m{p}_{j} / {pivot} AS m{i}_{j}" if i == p else f"m{i}_{j} - m{p}_{j} / {pivot} * m{i}_{p} AS m{i}_{j}" for i, j in cells)
+        out.append(f"{name}_{p + 1} AS (SELECT k, {scales}, {now} FROM {name}_{p})")
+    found = ", ".join(f"coalesce(m{i}_{n}, 0.0)" for i in range(n))
+    return [*out, f"{name} AS (SELECT k, [{found}] AS c FROM {name}_{n})"]
+
+
+def arma_ctes(source: str) -> tuple[str, ...]:
+    """Long autoregression, shocks, second regression, and the roll forward."""
+    long, short = (1, 2, 3, 12, 13, 14), (1, 12)
+    over = " FROM {0} WINDOW o AS (PARTITION BY k ORDER BY month)"
+    named = [f"a{n}" for n in long]
+    terms = " + ".join(f"c[{i + 1}] * {c}" for i, c in enumerate(named))
+    steps = [f"coalesce({v}[-{n}], 0.0)" for v in ("ws", "es") for n in short]
+    ahead = " + ".join(f"c[{i + 1}] * {x}" for i, x in enumerate(steps))
+    return (
+        *seasonal_ctes(source)[:5],
+        "x AS (SELECT *, " + ", ".join(f"lag(w, {n}) OVER o AS a{n}" for n in long) + over.format("w") + ")",
+        *normal_ctes("lr", "x", "w", named),
+        f"sh AS (SELECT x.k, month, v, w, w - (0.0 + {terms}) AS e FROM x JOIN lr ON lr.k = x.k)",
+        "x2 AS (SELECT *, " + ", ".join(f"lag({v}, {n}) OVER o AS {v}{n}" for v in "we" for n in short) + over.format("sh") + ")",
+        *normal_ctes("ar", "x2", "w", ["w1", "w12", "e1", "e12"]),
+        "st AS (SELECT sh.k, list(v ORDER BY month) AS ys, list(coalesce(w, 0.0) ORDER BY month) AS ws, list(coalesce(e, 0.0) ORDER BY month) AS es, "
+        "max(month) AS last_month, any_value(c) AS c FROM sh JOIN ar ON ar.k = sh.k GROUP BY sh.k)",
+        "roll AS (SELECT 0 AS i, * FROM st UNION ALL SELECT i + 1, k, "
+        f"list_append(ys, CASE WHEN len(ys) - i > 12 THEN (0.0 + {ahead}) + ys[-1] + ys[-12] - ys[-13] ELSE ys[-1] END), list_append(ws, 0.0 + {ahead}), "
+        "list_append(es, 0.0), last_month, c FROM roll WHERE i < 12)",
+    )
+
+
 def recursive(sql: str) -> str:
     return sql.replace("WITH t AS", "WITH RECURSIVE t AS", 1).replace("RECURSIVE_MARK AS (SELECT 1), ", "", 1)
 
@@ -471,6 +511,14 @@ SQL: dict[str, str] = {
         for name, columns in (("place", ("category", "city")), ("customer", ("customer_id",)), ("product", ("product_id",))))),
     "refresh_year": by("order_year", ", count(transaction_id) AS orders", "order_year > 1995 OR transaction_id % 2 = 1"),
     "rejects": dirty("SELECT reason, count(*) AS rows, count(*) FILTER (gone) AS rejected, count(*) FILTER (NOT gone) AS kept FROM r1 WHERE reason IS NOT NULL GROUP BY 1", *REJECTS),
+    "report_revenue": q(" UNION ALL ".join(
+        f"SELECT '{report}' AS report, '{columns}' AS columns, zone, round(sum({amount}), 4) AS revenue FROM t GROUP BY zone" for report, columns, amount in (
+            ("trends", "all", "discounted_price_inr"), ("trends", "some", "discounted_price_inr"), ("trends", "unit", "discounted_price_inr"),
+            ("products", "all", AMT), ("products", "some", "subtotal_inr"), ("products", "unit", "discounted_price_inr * quantity"),
+            ("regions", "all", AMT), ("regions", "some", "subtotal_inr"), ("regions", "unit", "0.0"),
+            ("returns", "all", AMT), ("returns", "some", "subtotal_inr"), ("export", "all", AMT), ("export", "some", "subtotal_inr")))),
+    "filter_places": q(f"SELECT 'state' AS panel, {LINE} FROM t WHERE customer_state = (SELECT min(customer_state) FROM t) "
+        f"UNION ALL SELECT 'city', {LINE} FROM t WHERE city = (SELECT max(city) FROM t)"),
     "export_churned": q(f"SELECT {CHURN_COLUMNS} FROM ch WHERE is_churned = 1", *CHURN),
     "report_export": q(
         f"SELECT 'filtered_data' AS table_name, count(*) AS rows FROM f UNION ALL SELECT 'kpis', 1 UNION ALL "
@@ -651,6 +699,8 @@ SQL: dict[str, str] = {
     "brand_forecast": q("SELECT k AS brand, month, round(forecast, 4) AS forecast FROM fc", BRAND_SERIES, *forecast_ctes("k")),
     "seasonal_ar_forecast": recursive(q("SELECT CAST(last_month + to_months(i) AS DATE) AS month, round(ys[-1], 1) AS forecast FROM roll WHERE i > 0", *seasonal_ctes(ALL_SERIES))),
     "brand_seasonal_ar_forecast": recursive(q("SELECT k AS brand, CAST(last_month + to_months(i) AS DATE) AS month, round(ys[-1], 1) AS forecast FROM roll WHERE i > 0", *seasonal_ctes(BRAND_SERIES))),
+    "seasonal_arma_forecast": recursive(q("SELECT CAST(last_month + to_months(i) AS DATE) AS month, round(ys[-1], 1) AS forecast FROM roll WHERE i > 0", *arma_ctes(ALL_SERIES))),
+    "brand_seasonal_arma_forecast": recursive(q("SELECT k AS brand, CAST(last_month + to_months(i) AS DATE) AS month, round(ys[-1], 1) AS forecast FROM roll WHERE i > 0", *arma_ctes(BRAND_SERIES))),
     "basket_pairs": pairs("category"),
     "basket_pairs_brand": pairs("brand"),
     "freq_itemsets": q("SELECT items, freq, round(support, 4) AS support FROM fs JOIN nm USING (s)", *SETS),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,17 +46,30 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     return path
 
 
-def write_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
-    """Each non-empty table in its own sub-folder; returns the names written."""
-    written = []
+def write_report(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, int]:
+    """Each non-empty table in its own sub-folder; returns the rows of those written.
+
+    A table is computed once: its rows are counted as they are written, in the
+    last stage of the job, where each row counts once even if tasks are run
+    again. The folder of a table that turned out empty is removed.
+    """
+    written = {}
     for name, table in tables.items():
-        if table.isEmpty():
-            continue
-        table.write.mode("overwrite").format(fmt).option("header", True).save(f"{folder}/{name}")
-        written.append(name)
+        path, seen = f"{folder}/{name}", Observation()
+        counted = table.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").format(fmt).option("header", True).save(path)
+        if rows := seen.get["rows"]:
+            written[name] = rows
+        else:
+            _remove(table.sparkSession, path)
     return written
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_lines(insights: DataFrame, path: str, title: str | None = None) -> str:
     """Insight sentences as text in rule order; a handful of rows, so one file."""
     lines = insights.select("rule", "text")

@@ -90,3 +90,65 @@ def test_moving_average_needs_three_months(spark):
     both = series(spark, [1, 2, 6, 9], key="a").unionByName(series(spark, [5, 6], key="b"))
     out = forecasting.moving_average(both, ["k"]).collect()
     assert [(r.k, r.forecast_units) for r in out] == [("a", 5)]
+
+
+def arma(y, steps=12):
+    """Hannan-Rissanen with numpy: (coefficients, forecast)."""
+    y = list(map(float, y))
+    w = {t: y[t] - y[t - 1] - y[t - 12] + y[t - 13] for t in range(13, len(y))}
+
+    def fit(target, terms):
+        rows = [(r, target[t]) for t in sorted(target) if None not in (r := [x.get(t - n) for x, n in terms])]
+        if len(rows) < len(terms):
+            return [0.0] * len(terms)
+        return list(np.linalg.lstsq(np.array([r for r, _ in rows]), np.array([v for _, v in rows]), rcond=None)[0])
+
+    long = (1, 2, 3, 12, 13, 14)
+    c = fit(w, [(w, n) for n in long])
+    e = {t: w[t] - sum(a * w[t - n] for a, n in zip(c, long)) for t in w if all(t - n in w for n in long)}
+    coef = fit(w, [(w, 1), (w, 12), (e, 1), (e, 12)])
+    for t in range(len(y), len(y) + steps):
+        w[t] = sum(a * x.get(t - n, 0.0) for a, (x, n) in zip(coef, [(w, 1), (w, 12), (e, 1), (e, 12)]))
+        y.append(w[t] + y[-1] + y[-12] - y[-13])
+    return coef, y[-steps:]
+
+
+@pytest.mark.parametrize("n", [20, 60, 150])
+def test_seasonal_arma_matches_numpy(spark, n):
+    y = wave(n)
+    got = forecasting.seasonal_arma_forecast(series(spark, y)).orderBy("month").collect()
+    assert [r.forecast for r in got] == pytest.approx(arma(y)[1], rel=1e-6)
+
+
+def test_seasonal_arma_of_a_very_short_series_repeats_its_last_value(spark):
+    assert [r.forecast for r in forecasting.seasonal_arma_forecast(series(spark, [3.0, 5.0, 4.0])).collect()] == [4.0] * 12
+    assert forecasting.seasonal_arma_forecast(series(spark, [])).count() == 0
+
+
+def test_seasonal_arma_of_many_series(spark):
+    a, b = wave(90), wave(80) * 2 + 7
+    both = series(spark, a, key="a").unionByName(series(spark, b, (2018, 4), key="b"))
+    out = forecasting.seasonal_arma_forecast(both, ["k"])
+    for k, y in (("a", a), ("b", b)):
+        assert [r.forecast for r in out.where(F.col("k") == k).orderBy("month").collect()] == pytest.approx(arma(y)[1], rel=1e-6)
+
+
+def test_seasonal_arma_recovers_known_coefficients(spark):
+    rng, n, true = np.random.default_rng(11), 6000, (0.4, 0.3, 0.35, -0.25)
+    e, w = rng.normal(0, 1, n), np.zeros(n)
+    for t in range(12, n):
+        w[t] = true[0] * w[t - 1] + true[1] * w[t - 12] + e[t] + true[2] * e[t - 1] + true[3] * e[t - 12]
+    y = np.zeros(n)
+    for t in range(13, n):
+        y[t] = w[t] + y[t - 1] + y[t - 12] - y[t - 13]
+    df = series(spark, y[13:], (1500, 1))
+    fitted = forecasting.seasonal_arma_fit(df).select("arma").first().arma
+    assert fitted == pytest.approx(true, abs=0.1)
+
+
+def test_elimination(spark):
+    systems = [([[2.0, 1.0, 5.0], [1.0, 3.0, 10.0]], [1.0, 3.0]), ([[1.0, 1.0, 2.0], [1.0, 1.0, 2.0]], [None, None]), ([[0.0, 0.0, 0.0]] * 2, [None] * 2)]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(systems)], "i int, m array<array<double>>")
+    got = {r.i: r.x for r in df.select("i", forecasting.solve(F.col("m"), 2).alias("x")).collect()}
+    for i, (_, want) in enumerate(systems):
+        assert got[i] == (pytest.approx(want) if None not in want else want)

@@ -147,7 +147,8 @@ def test_transactions_sink_replaces_and_partitions(spark, t, tmp_path):
 
 def test_report_skips_empty_tables(spark, tmp_path):
     full, empty = spark.range(3), spark.range(0)
-    assert sinks.write_report({"a": full, "b": empty}, str(tmp_path)) == ["a"]
+    assert sinks.write_report({"a": full, "b": empty, "c": full.where("1 = 0")}, str(tmp_path)) == {"a": full.count()}
+    assert [p.name for p in tmp_path.iterdir()] == ["a"]
 
 
 def test_lines_sink(spark, t, tmp_path):
