@@ -209,7 +209,9 @@ def find(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = SL
     for number in range(slices):
         own = asked.where(F.pmod(F.xxhash64("item", "terms"), F.lit(slices)) == number)
         held = spark.sparkContext.broadcast(_packed(own.toArrow()))
-        lists = index.join(own.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        # at most SLICE * width terms: small enough to be sent to every task, so that no list is moved to be chosen
+        terms = F.broadcast(own.select(F.explode("terms").alias("term")).distinct())
+        lists = index.join(terms, "term", "left_semi")
         met = index.where(F.col("term").isNull()).unionByName(lists)
         found.append(met.groupBy("block").applyInArrow(_searcher(held, slack), schema))
     if slices == 1:
