@@ -28,6 +28,14 @@ def alphanumeric() -> np.ndarray:
     return value
 
 
+def spaced() -> np.ndarray:
+    """Value of each byte in a word parted by ASCII white space, A-Z as a-z; 0 parts words."""
+    value = mixed(np.arange(256, dtype=np.uint64) + _STEP) | np.uint64(1)
+    value[65:91] = value[97:123]
+    value[9:14] = value[32] = 0
+    return value
+
+
 def blocks(texts: pa.StringArray, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold ``most_bytes`` or a single longer text; rows without text count too."""
     begin, load = 0, 0
