@@ -82,6 +82,7 @@ DATE_SHAPES = (
     ("^[0-9]{8}$", ("yyyyMMdd",)),
     ("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", ("d-MMM-yyyy",)),
 )
+# Month names.
 MONTH_NAMES = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 

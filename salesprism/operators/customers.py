@@ -154,6 +154,7 @@ def churned_customers(scores: DataFrame) -> DataFrame:
         F.desc("churn_risk_score"), F.desc("recency_days"), "customer_id")
 
 
+# Names of the five recency and frequency buckets.
 RECENCY_BUCKETS = ("Best", "Good", "Mid", "Low", "Worst")
 FREQUENCY_BUCKETS = ("Worst", "Low", "Mid", "Good", "Best")
 
