@@ -2,17 +2,20 @@
 
 At each anchor a signature is the anchor with the next ``CHAIN`` content
 words (words that are no anchors). A text's fingerprint set is its distinct
-signatures as 64-bit hashes; a text with words but no full chain has one
-signature, of all its words, so equal texts always agree. The fingerprint
-string is the set's size, a colon, and a digest of the sorted set.
+signatures as 64-bit hashes. A text without a full chain (no anchors of its
+language are known, say) is signed by its runs of ``CHAIN`` consecutive words,
+and one of fewer words by the text as a whole, so equal texts always agree.
+The fingerprint string is the set's size, a colon, and a digest of the sorted
+set.
 
 Two sets can reach a similarity of t only if the smaller has at least t
 times the larger's size: sets are partitioned by size for joins, and pairs
 whose sizes rule t out are not intersected.
 
 Null and empty texts have an empty set; two empty sets have likeness 1 (equal
-texts), an empty and another one 0. Rows are ordered by id with null ids last
-and ties by text; other columns are not carried.
+texts), an empty and another one 0. Rows are ordered by id, a null id counting
+as the largest long, and ties by a hash of the text; other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.session import stage
-
 # Very common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be by for from in is it of on or that the this to was were which with "
@@ -33,6 +34,8 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 RANGE_ROWS = 1500  # rows of one id range, in the mean
+MOST_RANGES = 8192  # beyond 12 million rows the ranges grow; each is sorted with spilling
+LAST = 2 ** 63 - 1  # the place of rows without id
 
 
 def word_list(text: Column) -> Column:
@@ -57,18 +60,22 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
 
     rows = rows.select(*names, word_list(F.col(text)).alias("_tokens"))
     rows = rows.select(
-        *names, F.filter("_tokens", lambda w: ~anchor(w)).alias("_content"),
+        *names, "_tokens", F.filter("_tokens", lambda w: ~anchor(w)).alias("_content"),
         F.filter(F.transform("_tokens", lambda w, i: F.when(anchor(w), F.struct(w.alias("w"), i.alias("i")))),
                  lambda m: m.isNotNull()).alias("_spots"))
     content = F.col("_content")
     chains = F.transform("_spots", lambda m, k: F.when(
         m["i"] - k + CHAIN <= F.size(content),
         F.xxhash64(m["w"], *(F.get(content, m["i"] - k + j) for j in range(CHAIN)))))
-    rows = rows.select(*names, F.array_distinct(F.array_compact(chains)).alias("_hashes"))
-    # xxhash64 of a text is never taken for a chain: the marker is a second value
+    rows = rows.select(*names, "_tokens", F.array_distinct(F.array_compact(chains)).alias("_hashes"))
+    # a run or a whole text is never taken for a chain: the marker is one more value
+    tokens = F.col("_tokens")
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(tokens) - CHAIN), lambda i: F.xxhash64(
+        F.lit("run"), *(F.get(tokens, i + j) for j in range(CHAIN)), F.lit(CHAIN))))
     whole = F.when(F.octet_length(text) > 0, F.array(F.xxhash64(text, F.lit("whole")))).otherwise(
         F.array().cast("array<bigint>"))
-    return rows.select(*names, F.when(F.size("_hashes") > 0, F.array_sort("_hashes")).otherwise(whole).alias(out))
+    return rows.select(*names, F.when(F.size("_hashes") > 0, F.array_sort("_hashes")).when(
+        F.size(tokens) >= CHAIN, F.array_sort(runs)).otherwise(whole).alias(out))
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -86,35 +93,57 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
         .otherwise(common / (F.size(a) + F.size(b) - common)))
 
 
+def _ranges(rows: DataFrame) -> DataFrame:
+    """The rows with ``_cell``: their range in the order of (_key, _tie), ranges being about equally full.
+
+    A range begins at a quantile of the keys. A key that fills several ranges
+    (many rows without id, say) is dealt over them by its ties, which are
+    hashes.
+    """
+    ranges = min(MOST_RANGES, max(1, rows.count() // RANGE_ROWS))
+    if ranges == 1:
+        return rows.withColumn("_cell", F.lit(0))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx("_key", shares, max(10_000, 4 * ranges))).first()[0]
+    width = math.isqrt(ranges)
+
+    def literal(values: list[int]) -> Column:
+        """One literal array, whatever its length."""
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def before(inside) -> Column:
+        """How many bounds fulfil ``inside``, as the first ones do: counted in the one block where it ends."""
+        blocks = F.size(F.filter(literal(bounds[::width]), inside))
+        block = F.slice(literal(bounds), (F.greatest(blocks, F.lit(1)) - 1) * width + 1, width)
+        return F.greatest(blocks - 1, F.lit(0)) * width + F.size(F.filter(block, inside))
+
+    key = F.col("_key")
+    rows = rows.withColumns({"_upto": before(lambda b: b <= key), "_below": before(lambda b: b < key)})
+    filled = F.col("_upto") - F.col("_below")
+    share = F.floor((F.col("_tie") / F.lit(2.0 ** 64) + 0.5) * filled)
+    cell = F.when(filled < 2, F.col("_upto")).otherwise(F.col("_below") + 1 + F.least(share, filled - 1))
+    return rows.withColumn("_cell", cell.cast("int")).drop("_upto", "_below")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, signatures and both of the next row (``next``) in ascending id order; the first follows the last.
+    """doc_id, text and the text of the next row (``next``) in ascending id order; the first follows the last.
 
-    Rows are dealt into id ranges; each range is a window of its own, and its
-    last row takes the first row of the next range from one row per range.
+    Rows are dealt into ranges of ids, and only texts travel there. The first
+    text of each range goes to the range before it as well, so that its last
+    row finds it there. At most ``MOST_RANGES`` keys reach the driver.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bounds = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    ranges = max(1, -(-bounds["n"] // RANGE_ROWS))
-    low, high = bounds["low"] or 0, bounds["high"] or 0
-    width = max(1, -(-(high - low + 1) // ranges))
-    # null ids come last
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(ranges)).cast("long")
-    rows = rows.withColumn("_range", cell)
-    order = (F.col("doc_id").asc_nulls_last(), F.col("text"))
-    inside = Window.partitionBy("_range").orderBy(*order)
-    paired = with_signatures(rows, "text", "signatures").withColumn(
-        "_next", F.lead(F.struct("text", "signatures")).over(inside))
-    first = rows.groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("_first")).select("_range", "_first.text")
-    heads = stage(with_signatures(first, "text", "signatures").select(
-        "_range", F.struct("text", "signatures").alias("_head")), "spotsigs-heads")
-    every = Window.orderBy("_range")  # one number per range
-    following = heads.select("_range").withColumn("_after", F.lead("_range").over(every))
-    following = following.crossJoin(F.broadcast(heads.agg(F.min("_range").alias("_start"))))  # one row
-    following = following.select("_range", F.coalesce("_after", "_start").alias("_after"))
-    turn = following.join(heads.withColumnRenamed("_range", "_after"), "_after").select("_range", "_head")
-    last = F.when(F.col("_next").isNull(), F.col("_range"))
-    joined = paired.withColumn("_last", last).join(turn.withColumnRenamed("_range", "_last"), "_last", "left")
-    return joined.select("doc_id", "text", "signatures", F.coalesce("_next", "_head").alias("next"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = _ranges(docs.select(
+        F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_key"),
+        F.xxhash64(text).alias("_tie")))
+    firsts = sorted(rows.groupBy("_cell").agg(F.min(F.struct("_key", "_tie")).alias("f")).select("_cell", "f.*").collect())
+    heads = [(key, tie, firsts[i - 1][0]) for i, (_, key, tie) in enumerate(firsts)]
+    told = rows.sparkSession.createDataFrame(heads, "_key long, _tie long, _before int")  # one row per range
+    guests = rows.join(F.broadcast(told), ["_key", "_tie"]).groupBy("_before").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("_guest", F.lit(False)).unionByName(
+        guests.select("text", F.col("_before").alias("_cell"), F.lit(True).alias("_guest")), allowMissingColumns=True)
+    order = Window.partitionBy("_cell").orderBy("_guest", "_key", "_tie", "text")
+    return rows.withColumn("next", F.lead("text").over(order)).where(~F.col("_guest")).select("doc_id", "text", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -125,10 +154,10 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited text, and the likeness to the edited and the next text."""
-    rows = with_next(docs, id_col, text_col)
-    rows = rows.select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "signatures",
-        edited(F.col("text"), F.col("next.text")).alias("_edited"), F.col("next.signatures").alias("next_signatures"))
+    rows = with_signatures(with_next(docs, id_col, text_col), "text", "signatures")
+    rows = with_signatures(rows, "next", "next_signatures").select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "signatures", "next_signatures",
+        edited(F.col("text"), F.col("next")).alias("_edited"))
     rows = with_signatures(rows, "_edited", "edited_signatures").withColumn("edited_sha256", F.sha2("_edited", 256))
     own, new, other = F.col("signatures"), F.col("edited_signatures"), F.col("next_signatures")
     return rows.select(

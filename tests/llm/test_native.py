@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import xxhash
+
 from salesprism.llm import license_scan, queries, spotsigs
 
 from .. import conftest
@@ -45,13 +47,19 @@ def brute_signatures(text):
             chain = [w, *chain[:spotsigs.CHAIN - 1]]
         elif len(chain) == spotsigs.CHAIN:
             out.add((w, *chain))
+    if not out and len(words) >= spotsigs.CHAIN:
+        return set(zip(*(words[i:] for i in range(spotsigs.CHAIN)), strict=False))
     return out or ({text} if text else set())
 
 
+def tie(text):
+    return int.from_bytes(xxhash.xxh64_digest(text.encode(), 42), "big", signed=True)
+
+
 def test_fingerprints_against_plain_python(spark, tmp_path):
     for folder in (conftest.SMALL, frame(spark, tmp_path)):
         docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-        docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+        docs.sort(key=lambda d: (d[0] is None, d[0] or 0, tie(d[1])))
         want = []
         for (i, t), (_, n) in zip(docs, [*docs[1:], docs[0]], strict=True):
             half = len(t) // 2
@@ -64,6 +72,30 @@ def test_fingerprints_against_plain_python(spark, tmp_path):
             str((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9))) for r in got)
 
 
+def test_ranges_of_far_off_repeated_and_missing_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 7)
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**15, "far off"), (-10**15, "first")]
+    rows += [(None, f"no id {i}") for i in range(400)] + [(150, f"again {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cells = spotsigs._ranges(df.select(
+        "*", spotsigs.F.coalesce("doc_id", spotsigs.F.lit(spotsigs.LAST)).alias("_key"), spotsigs.F.xxhash64("text").alias("_tie")))
+    assert max(r["count"] for r in cells.groupBy("_cell").count().collect()) < 40
+    following = {(r["doc_id"], r["text"]): r["next"] for r in spotsigs.with_next(df).collect()}
+    assert len(following) == len(rows)
+    walk, text_id = ["first"], {t: i for i, t in rows}
+    while len(walk) < len(rows):
+        walk.append(following[text_id[walk[-1]], walk[-1]])
+    assert len({*walk}) == len(rows) and following[text_id[walk[-1]], walk[-1]] == "first"
+    ids = [text_id[t] for t in walk]
+    assert ids == sorted(ids, key=lambda i: spotsigs.LAST if i is None else i)
+
+
+def test_edit_of_a_text_without_anchors_stays_similar(spark, tmp_path):
+    rows = [(1, " ".join(f"слово{chr(1072 + i)}" for i in range(30))), (2, "другой короткий текст здесь")]
+    got = queries.op8_spotsigs(spark, frame(spark, tmp_path, rows)).where("doc_id = 1").first()
+    assert 0 < got["near_edited"] < 1 and got["near_next"] == 0
+
+
 def test_empty_tables(spark, tmp_path):
     folder = frame(spark, tmp_path, [])
     assert queries.op8_spotsigs(spark, folder).count() == queries.op10_license_scan(spark, folder).count() == 0
