@@ -41,7 +41,7 @@ LAST = 2 ** 63 - 1  # the place of rows without id
 def word_list(text: Column) -> Column:
     """Words of a text with A-Z folded, without punctuation and digits; null has none."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    return F.array_remove(F.split(low, r"[^\p{L}\p{M}]+"), "")
 
 
 def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -51,12 +51,11 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     its chain starts at that place among the content words. Each step is a
     projection of its own, so that nothing is computed once per word again.
     """
-    anchors = F.array(*map(F.lit, ANCHORS))
     longest = max(map(len, ANCHORS))
     names = rows.columns
 
     def anchor(w: Column) -> Column:
-        return (F.octet_length(w) <= longest) & F.array_contains(anchors, w)
+        return (F.octet_length(w) <= longest) & w.isin(*ANCHORS)
 
     rows = rows.select(*names, word_list(F.col(text)).alias("_tokens"))
     rows = rows.select(
@@ -126,11 +125,11 @@ def _ranges(rows: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the text of the next row (``next``) in ascending id order; the first follows the last.
+    """doc_id, text, signatures and both of the next row (``next``) in ascending id order; the first follows the last.
 
-    Rows are dealt into ranges of ids, and only texts travel there. The first
-    text of each range goes to the range before it as well, so that its last
-    row finds it there. At most ``MOST_RANGES`` keys reach the driver.
+    Rows are dealt into ranges of ids; only texts travel there and are signed
+    on arrival. The first text of each range goes to the range before it as
+    well, so that its last row finds it there. At most ``MOST_RANGES`` keys reach the driver.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = _ranges(docs.select(
@@ -143,7 +142,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.withColumn("_guest", F.lit(False)).unionByName(
         guests.select("text", F.col("_before").alias("_cell"), F.lit(True).alias("_guest")), allowMissingColumns=True)
     order = Window.partitionBy("_cell").orderBy("_guest", "_key", "_tie", "text")
-    return rows.withColumn("next", F.lead("text").over(order)).where(~F.col("_guest")).select("doc_id", "text", "next")
+    rows = with_signatures(rows.repartition("_cell"), "text", "signatures")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "signatures")).over(order))
+    return rows.where(~F.col("_guest")).select("doc_id", "text", "signatures", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -154,10 +155,9 @@ def edited(text: Column, following: Column) -> Column:
 
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited text, and the likeness to the edited and the next text."""
-    rows = with_signatures(with_next(docs, id_col, text_col), "text", "signatures")
-    rows = with_signatures(rows, "next", "next_signatures").select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "signatures", "next_signatures",
-        edited(F.col("text"), F.col("next")).alias("_edited"))
+    rows = with_next(docs, id_col, text_col).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "signatures",
+        edited(F.col("text"), F.col("next.text")).alias("_edited"), F.col("next.signatures").alias("next_signatures"))
     rows = with_signatures(rows, "_edited", "edited_signatures").withColumn("edited_sha256", F.sha2("_edited", 256))
     own, new, other = F.col("signatures"), F.col("edited_signatures"), F.col("next_signatures")
     return rows.select(

@@ -80,7 +80,7 @@ def test_ranges_of_far_off_repeated_and_missing_ids(spark, tmp_path, monkeypatch
     cells = spotsigs._ranges(df.select(
         "*", spotsigs.F.coalesce("doc_id", spotsigs.F.lit(spotsigs.LAST)).alias("_key"), spotsigs.F.xxhash64("text").alias("_tie")))
     assert max(r["count"] for r in cells.groupBy("_cell").count().collect()) < 40
-    following = {(r["doc_id"], r["text"]): r["next"] for r in spotsigs.with_next(df).collect()}
+    following = {(r["doc_id"], r["text"]): r["next"]["text"] for r in spotsigs.with_next(df).collect()}
     assert len(following) == len(rows)
     walk, text_id = ["first"], {t: i for i, t in rows}
     while len(walk) < len(rows):
