@@ -53,6 +53,16 @@ def _letters() -> np.ndarray:
     return table
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """Whether a code point is a letter: a mark may join a word but does not make one."""
+    return np.array([unicodedata.category(chr(code))[0] == "L" for code in range(0x110000)])
+
+
+def has_letter(texts: Sequence[str | None]) -> list[bool]:
+    return [bool(_is_letter()[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)].any()) for t in texts]
+
+
 def blocks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``BLOCK`` characters; a longer text is a range of its own."""
     begin, load = 0, 0
@@ -102,6 +112,7 @@ class Model:
         for begin, end in blocks(texts):
             found, row = grams(texts[begin:end])
             total = np.bincount(row, minlength=end - begin)
+            lettered = has_letter(texts[begin:end])
             share = np.zeros((len(self.languages), end - begin))
             if self.languages:
                 mask = self.lookup(found)
@@ -111,7 +122,7 @@ class Model:
                     share[i] = (hits / np.maximum(total, 1) - self.chance[i]) / (1 - self.chance[i])
                 best = share.argmax(axis=0)
             for i in range(end - begin):
-                known = bool(self.languages) and total[i] > 0
+                known = bool(self.languages) and lettered[i] and total[i] > 0
                 names.append(self.languages[best[i]] if known else UNKNOWN)
                 scores.append(float(min(1.0, max(0.0, share[best[i], i]))) if known else 0.0)
         return names, scores

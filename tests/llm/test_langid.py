@@ -55,3 +55,9 @@ def test_filter_returns_every_language_that_holds_the_gram():
         extra += len(bits - names)
     expected = model.chance.sum() * len(own)
     assert extra <= 2 * expected + 20
+
+
+def test_marks_alone_are_no_letters():
+    model = langid.build_model([("de", int(g)) for g in langid.grams(["das ist ein haus"])[0]])
+    assert model.predict(["\u0301\u0301 \u0308", "haus", "12 \u0301"]) [0] == [langid.UNKNOWN, "de", langid.UNKNOWN]
+    assert langid.has_letter([None, "", "\u0301", "e\u0301"]) == [False, False, False, True]
