@@ -6,16 +6,21 @@ quotas; using a pattern's tokens the first time is free, each repetition
 costs more than the last, so nothing is repeated while fresh tokens could
 fill the quota. Each pattern's flow is then realised by documents: whole
 passes over all of them, and for the rest the documents first in a seeded
-order, plus the one whose size comes nearest to what is still missing.
+order, up to the first that no longer fits. What is still missing is filled
+by sizes: for each copy number, fewest repetitions first, as many documents
+of each size as fit, largest first, chosen in the seeded order. The smallest
+copy left is added if that comes nearer. So a source of one pattern misses its
+target by at most half of the smallest copy it did not use.
 
 Only one row per pattern reaches the driver, and their number is checked
 (``MOST_PATTERNS``): the mixture is a specification, not data. A source that
 holds most rows is never sorted in one task: its cut in the seeded order is
-found digit by digit with grouped sums.
+found digit by digit with grouped sums, and the fill sees only counts by size.
 
 A null source is a source of its own, last in order. Null sizes count as 0;
-documents without size are never taken. Null ids are kept; rows that repeat
-an id share a place in the order and are taken or left together.
+documents without size are never taken. Null and repeated ids are kept; a
+place in the order comes from the id and a tie (a hash of the text, say), so
+only rows that agree in both share one, and the fill takes them one by one.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ SEED = "mix-1"
 HASH_DIGITS = 15  # hexadecimal digits of the seeded order
 STEP = 3  # digits settled by each round
 ROUNDS = 3
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -119,20 +125,22 @@ def _path(start: int, sent, users, need) -> list[tuple[int, int]] | None:
 
 def mix(
     docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", seed: str = SEED,
-    carry: Column | None = None,
+    carry: Column | None = None, tie: Column | None = None,
 ) -> DataFrame:
     """Rows with their sources, the first source's size and target, and the copies taken.
 
     ``members`` is the array of a row's sources. Sources in code point order,
     null last, weigh 1, 2, 3, 1, 2, 3, ... and share all tokens.
+    ``tie`` parts rows of one id in the seeded order.
     Returns doc_id, size, members, source_size, target, copies; and ``carry``, if given.
     """
-    place = F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, HASH_DIGITS), 16, 10).cast("long")
+    name = (F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(id_col), F.lit("") if tie is None else tie))
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *name)), 1, HASH_DIGITS), 16, 10).cast("long")
     more = {} if carry is None else {"_carry": carry}
     rows = stage(docs.select(
         F.col(id_col).alias("_id"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
         F.array_sort(F.array_distinct(members)).alias("_members"), place.alias("_place"),
+        F.monotonically_increasing_id().alias("_row"),  # written once, so it does not change
         *(c.alias(n) for n, c in more.items())), "mix-rows")
     found = rows.groupBy("_members").agg(F.sum("_size").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
@@ -160,22 +168,77 @@ def mix(
     key = F.to_json(F.struct("_members"), {"ignoreNullFields": "false"}).alias("_pattern")
     plan = plan.select(key, "_full", "_rest", "_source_size", "_target")
     keyed = rows.select("*", key)
-    cut = _cuts(keyed, plan)
-    chosen = keyed.join(F.broadcast(plan), "_pattern").join(F.broadcast(cut), "_pattern", "left")
-    sure = F.coalesce(F.col("_place") < F.col("_cut"), F.lit(False))
-    lack = F.col("_rest") - F.coalesce(F.col("_before"), F.lit(0))
-    near = (
-        chosen.where(~sure & (F.col("_size") > 0) & (F.col("_size") < 2 * lack))
-        .groupBy("_pattern").agg(F.min(F.struct(F.abs(lack - F.col("_size")), F.col("_place"))).alias("_near"))
-        .select("_pattern", F.col("_near._place").alias("_last"))
-    )
-    copies = F.col("_full") + F.when(sure | F.coalesce(F.col("_place") == F.col("_last"), F.lit(False)), 1).otherwise(0)
-    return chosen.join(F.broadcast(near), "_pattern", "left").select(
+    cut = plan.select("_pattern", "_full", "_rest").join(_cuts(keyed, plan), "_pattern", "left").select(
+        "_pattern", "_full", "_cut", (F.col("_rest") - F.coalesce(F.col("_before"), F.lit(0))).alias("_lack"))
+    extra = _fill(keyed, cut)
+    chosen = keyed.join(F.broadcast(plan), "_pattern").join(
+        F.broadcast(cut.select("_pattern", "_cut")), "_pattern", "left").join(extra, "_row", "left")
+    copies = F.col("_full") + _sure().cast("int") + F.coalesce(F.col("_extra"), F.lit(0))
+    return chosen.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_members").alias("members"),
-        F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"),
+        F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("int").alias("copies"),
         *(F.col(n).alias("carry") for n in more))
 
 
+def _sure() -> Column:
+    """Whether a document lies before the cut."""
+    return F.coalesce(F.col("_place") < F.col("_cut"), F.lit(False)) & (F.col("_size") > 0)
+
+
+def _fill(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Copies beyond the cut: (_row, _extra).
+
+    A pattern's counts by copy number and size are folded in order; a size
+    takes ``missing / size`` copies at most, so a chosen (copy number, size)
+    needs no more than that many documents, the first in the seeded order.
+    Since ever less is missing, a second copy is chosen only of sizes whose
+    first copies all were. A fold holds one entry per copy number and distinct
+    size below twice what is missing, whatever the number of documents.
+    """
+    fits = rows.join(F.broadcast(cut), "_pattern").where(
+        (F.col("_size") > 0) & (F.col("_size") < 2 * F.col("_lack")))
+    used = F.col("_full") + _sure().cast("int")
+    fits = stage(
+        fits.where(used < REPEATS).select(
+            "_pattern", "_size", "_place", "_row", F.explode(F.sequence(used + 1, F.lit(REPEATS))).alias("_copy")),
+        "mix-fits")
+    counts = fits.groupBy("_pattern", "_copy", "_size").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.struct("_copy", (-F.col("_size")).alias("_order"), "_n")
+    none = F.array().cast("array<struct<_copy:int,_size:bigint,_take:bigint>>")
+
+    def one(size: Column, copy: Column) -> Column:
+        return F.struct(size.alias("_size"), copy.alias("_copy"))
+
+    def step(state: Column, e: Column) -> Column:
+        fit = F.least(e["_n"], F.floor(state["lack"] / -e["_order"])).cast("bigint")
+        took = F.struct(e["_copy"].alias("_copy"), (-e["_order"]).alias("_size"), fit.alias("_take"))
+        return F.struct(
+            (state["lack"] + fit * e["_order"]).alias("lack"),
+            F.when(fit > 0, F.concat(state["took"], F.array(took))).otherwise(state["took"]).alias("took"),
+            F.least(state["spare"], F.when(fit < e["_n"], one(-e["_order"], e["_copy"]))).alias("spare"))
+
+    def finish(state: Column) -> Column:
+        spare = F.struct(state["spare"]["_copy"].alias("_copy"), state["spare"]["_size"].alias("_size"), F.lit(1).cast("bigint").alias("_take"))
+        nearer = F.coalesce(state["spare"]["_size"] < 2 * state["lack"], F.lit(False))
+        return F.when(nearer, F.concat(state["took"], F.array(spare))).otherwise(state["took"])
+
+    folded = counts.groupBy("_pattern").agg(F.array_sort(F.collect_list(entry)).alias("_entries")).join(
+        F.broadcast(cut.select("_pattern", "_lack")), "_pattern")
+    start = F.struct(
+        F.col("_lack").cast("double").alias("lack"), none.alias("took"),
+        F.lit(None).cast("struct<_size:bigint,_copy:int>").alias("spare"))
+    took = folded.select("_pattern", F.explode(F.aggregate("_entries", start, step, finish)).alias("t")).groupBy(
+        "_pattern", "t._copy", "t._size").agg(F.sum("t._take").alias("_take"))
+    wanted = fits.join(took, ["_pattern", "_copy", "_size"])
+    # the first of each salt, then of all: a size that a third of all rows have is never sorted in one task
+    group = ["_pattern", "_copy", "_size"]
+    salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS))
+    for keys in ([*group, salt], group):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy("_place", "_row"))
+        wanted = wanted.withColumn("_rank", first).where(F.col("_rank") <= F.col("_take"))
+    return stage(wanted.groupBy("_row").agg(F.count(F.lit(1)).alias("_extra")), "mix-extra")
+
+
 def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """For each pattern, the place of the first document that no longer fits the rest, and the tokens before it.
 

@@ -44,7 +44,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_documents(spark, sf_dir), F.array("source"), mixing.words(F.col("text")))
+    mixed = mixing.mix(
+        _documents(spark, sf_dir), F.array("source"), mixing.words(F.col("text")), tie=F.xxhash64("text"))
     return mixed.select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         (F.col("size") * F.col("copies")).alias("taken"))

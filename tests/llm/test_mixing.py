@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from salesprism.llm import mixing, queries, sharding
 
@@ -53,8 +54,37 @@ def test_mix_meets_targets(spark, tmp_path):
             assert r["source_size"] == of[s] and abs(r["target"] - targets[s]) < 1e-5
             taken[s] += r["taken"]
         for s in names:
-            # within half of the largest document that could still be added
-            assert abs(taken[s] - targets[s]) <= max(n for d, n in zip(docs, size, strict=True) if d["source"] == s) / 2 + 1
+            # within half of the smallest copy that was left
+            left = [r["size"] for r in got if source_of[r["doc_id"]] == s and r["taken"] < 3 * r["size"]]
+            most = max(n for d, n in zip(docs, size, strict=True) if d["source"] == s)
+            assert abs(targets[s] - taken[s]) <= min(left, default=most) / 2 + 1e-5
+
+
+def filled(docs):
+    """Words taken and wanted by source."""
+    got = mixing.mix(docs, F.array("s"), F.col("n"), tie=F.col("n"))
+    rows = got.groupBy("members").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"),
+        F.max("copies").alias("most"), F.count(F.lit(1)).alias("rows")).collect()
+    assert sum(r["rows"] for r in rows) == docs.count() and all(r["most"] <= 3 for r in rows)
+    return {r["members"][0]: (r["taken"], r["target"]) for r in rows}
+
+
+def test_one_huge_document_does_not_stop_the_fill(spark):
+    rows = [(1, "a", 20_000), *((10 + i, "a", 10) for i in range(300)), *((1000 + i, "b", 100) for i in range(100)),
+            *((2000 + i, "c", 5) for i in range(4200))]
+    got = filled(spark.createDataFrame(rows, "doc_id long, s string, n long"))
+    # a copy of the huge document never fits, and small ones are used up to three times
+    for taken, target in got.values():
+        assert abs(target - taken) <= 50.001
+    assert got["a"][1] < 20_000 and got["a"][0] > 3000
+
+
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    rows = [*((None, "a", 10) for _ in range(2000)), *((7, "b", 9) for _ in range(2000)), *((i, None, 11) for i in range(300))]
+    got = filled(spark.createDataFrame(rows, "doc_id long, s string, n long"))
+    for taken, target in got.values():
+        assert abs(target - taken) <= 5.501
 
 
 def test_overlapping_sources_share_one_pattern(spark):
