@@ -35,7 +35,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once per copy that the mixture takes; those it does not take go."""
     carry = F.struct(*(F.col(c) for c in COLUMNS))
-    mixed = mixing.mix(docs, F.array("source"), mixing.words(F.col("text")), carry=carry)
+    mixed = mixing.mix(docs, F.array("source"), mixing.words(F.col("text")), carry=carry, tie=F.xxhash64("text"))
     copies = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
     return copies.select("carry.*")
 
