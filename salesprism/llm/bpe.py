@@ -3,9 +3,12 @@
 Texts are split by the tokenizer's pattern. Each distinct word is folded
 once per task and kept: its byte array starts as single bytes, and the
 neighbours whose union has the lowest rank (the leftmost, if equal) are merged
-until no union has a rank. The rank map is a literal of the vocabulary's
-size, independent of the corpus. The words kept are bounded
-(``MOST_WORDS``); past that they are folded again, with the same result.
+until no union has a rank. New words of a block of texts are folded together,
+one merge of each at a time; words over ``SHORT`` bytes one by one. The rank
+map is a literal of the vocabulary's size, independent of the corpus. The
+words kept are bounded (``MOST_WORDS``); past that they are folded again, with
+the same result. Texts are handled in blocks of ``BLOCK`` bytes; a longer text
+is a block of its own.
 
 Ids travel as little-endian unsigned 32-bit integers in one binary value, so
 that digests and lengths are plain Spark functions. Null and empty texts have
@@ -16,22 +19,27 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MOST_WORDS = 400_000
-SHORT = 32  # bytes of a word whose neighbours are searched one by one
+MOST_WORDS = 800_000
+SHORT = 32  # bytes of a word that is folded together with others
+WIDTHS = (8, 16, SHORT)  # words up to these sizes share a table
+BLOCK = 1 << 20  # bytes of texts handled at once
+NEVER = np.iinfo(np.int64).max  # rank of a union without one
 
 
 @dataclass
 class Vocabulary:
-    """Tokens by rank, the pattern that splits texts, and the words folded so far (never shipped)."""
+    """Ranks of tokens, the pattern that splits texts, and the words folded so far (never shipped)."""
 
     ranks: dict[bytes, int]
     pattern: str
@@ -40,29 +48,102 @@ class Vocabulary:
     def __post_init__(self) -> None:
         # white space as Unicode defines it, as the rank files' own library does
         self.split = regex.compile(self.pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.pieces = pa.array(tokens, pa.large_binary())
+        self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        unions = sorted(
+            (self.ranks[t[:i]] << 32 | self.ranks[t[i:]], rank) for t, rank in self.ranks.items()
+            for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        self.unions, self.union_ranks = np.array([*unions, (NEVER, NEVER)], np.int64).T.copy()
+        self.byte_unions = self._ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def __reduce__(self):
         return Vocabulary, (self.ranks, self.pattern)
 
     def encode(self, text: str) -> bytes:
-        known, out = self.known, []
-        for word in self.split(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= MOST_WORDS:
-                    known.clear()
-                raw = word.encode("utf-8", "surrogatepass")
-                ids = np.array(fold(raw, self.ranks), "<u4").tobytes()
-                if len(raw) <= SHORT:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        known, parts = self.known, [self.split(t) for t in texts]
+        words = set(chain.from_iterable(parts))
+        fresh = words.difference(known)
+        if fresh and len(known) + len(fresh) > MOST_WORDS:
+            known.clear()
+            fresh = words
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in fresh}
+        long = [w for w, r in raw.items() if len(r) > SHORT]
+        for w in long:
+            known[w] = np.array(fold(raw.pop(w), self.ranks), "<u4").tobytes()
+        known.update(zip(raw, self.fold_all(list(raw.values())), strict=True))
+        out = [b"".join(map(known.__getitem__, part)) for part in parts]
+        for w in long:
+            del known[w]
+        return out
+
+    def fold_all(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of words of at most ``SHORT`` bytes, as bytes."""
+        out: list[bytes] = [b""] * len(words)
+        at_width: dict[int, list[int]] = {w: [] for w in WIDTHS}
+        for i, word in enumerate(words):
+            if (whole := self.ranks.get(word)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            else:
+                at_width[next(w for w in WIDTHS if len(word) <= w)].append(i)
+        for width, places in at_width.items():
+            if places:
+                table, sizes = self._merged([words[i] for i in places], width)
+                flat = table.astype("<u4").tobytes()
+                for row, (i, n) in enumerate(zip(places, sizes.tolist(), strict=True)):
+                    out[i] = flat[4 * width * row:4 * (width * row + n)]
+        return out
+
+    def _merged(self, words: Sequence[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one row each, and how many of a row count."""
+        sizes = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < sizes[:, None], self.byte_ids[raw], -1)
+        if (ids[np.arange(width) < sizes[:, None]] < 0).any():
+            raise KeyError("a byte of the text has no rank")
+        ranks = np.where(
+            np.arange(1, width) < sizes[:, None], self.byte_unions[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]], NEVER)
+        done, live = ids.copy(), np.arange(len(words))
+        places = np.arange(width)
+        while len(live):
+            at = ranks.argmin(axis=1)  # the leftmost of the lowest
+            low = ranks[np.arange(len(live)), at]
+            go = low < NEVER
+            done[live[~go]] = ids[~go]
+            live, ids, ranks, at, low = live[go], ids[go], ranks[go], at[go], low[go]
+            rows = np.arange(len(live))
+            ids[rows, at] = low
+            follow = np.minimum(places + (places > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, follow, 1)
+            ids[:, -1] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(follow[:, :-1], width - 2), 1)
+            ranks[:, -1] = NEVER
+            sizes[live] -= 1
+            right = np.minimum(at, width - 2)
+            ranks[rows, right] = self._ranks(ids[rows, right], ids[rows, right + 1])
+            left = np.maximum(at - 1, 0)
+            ranks[rows, left] = self._ranks(ids[rows, left], ids[rows, left + 1])
+        return done, sizes
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of unions of neighbours; ``NEVER`` where there is none or a row has ended."""
+        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        at = np.searchsorted(self.unions, key)
+        return np.where(self.unions[at] == key, self.union_ranks[at], NEVER)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Bytes that ids stand for: the pieces taken lie one behind the other."""
+        pieces = self.pieces.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, edges, data = pieces.buffers()
+        if data is None:
+            return b""
+        edges = np.frombuffer(edges, np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
+        return memoryview(data)[edges[0]:edges[-1]].tobytes()
 
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -120,6 +201,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
+def blocks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, null as empty, in blocks of about ``BLOCK`` bytes."""
+    if len(texts):
+        load = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK
+        edge = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), len(texts)]
+        for begin, end in zip(edge, edge[1:], strict=False):
+            yield [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+
+
 class Tokenizer:
     """Encoding and decoding of columns; the vocabulary is broadcast once."""
 
@@ -132,7 +222,7 @@ class Tokenizer:
 
         def run(texts: pa.Array) -> pa.Array:
             words = shared.value
-            return pa.array([words.encode(t.as_py() or "") for t in texts], pa.binary())
+            return pa.array([ids for block in blocks(texts) for ids in words.encode_all(block)], pa.binary())
 
         return F.arrow_udf(run, "binary")(text)
 
