@@ -90,7 +90,7 @@ DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-LEAST_SPELLED = 4  # fewer spelled digits in a row are ordinary prose
+LEAST_SPELLED = 4  # shorter runs of spelled digits and numbers are ordinary prose
 
 
 @cache
@@ -111,15 +111,26 @@ def look_alikes() -> dict[str, str]:
 
 _WORD = "|".join(DIGIT_WORDS)
 # These run on text whose ASCII letters are folded.
-SPELLED = re.compile(rf"(?<![a-z])(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{{LEAST_SPELLED - 1},}}(?![a-z])")
+_DIGITS = rf"(?:{_WORD}|[0-9]+)"
+SPELLED = re.compile(
+    rf"(?<![a-z0-9])(?:plus[\x20-]+)?{_DIGITS}(?:[\x20-]+{_DIGITS}){{{LEAST_SPELLED - 1},}}(?![a-z0-9])")
 SPELLED_PART = re.compile(rf"(plus[\x20-]+)|({_WORD})|[\x20-]+")
+ANY_WORD = re.compile(_WORD)
 _OPEN, _SHUT = r"\x20{0,3}[(\[{<]\x20?", r"\x20?[)\]}>]\x20{0,3}"
 # Words after a plain "at" that open a noun phrase, as in "look at the dot on the map".
 DETERMINERS = "the|a|an|this|that|these|those|my|your|his|her|its|our|their|each|every|any|some|no|one"
 _SPELLED_HOST = rf"(?!(?:{DETERMINERS})\x20)(?=[a-z0-9-]+(?:\x20dot\x20[a-z0-9-]+)+)"
+# Endings of a dotted host after a plain "at", and words before it that are no mailbox.
+ENDINGS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu"
+NO_MAILBOX = frozenset(
+    "us me him her them it is are be was were look looking see seen here there online live available hosted found "
+    "visit out only page site website shop store work works working read more".split())
+_DOTTED_HOST = rf"(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{ENDINGS})(?![a-z0-9-]))"
 DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}at{_SHUT}|(?<=[a-z0-9])\x20at\x20{_SPELLED_HOST})|(?P<dot>{_OPEN}dot{_SHUT}|(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9]))")
-BRACKETED = re.compile(r"[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]")
+    rf"(?P<at>{_OPEN}(?:at|@){_SHUT}|(?<=[a-z0-9])\x20at\x20{_SPELLED_HOST})|(?P<plain>(?<=[a-z0-9])\x20at\x20{_DOTTED_HOST})"
+    rf"|(?P<dot>{_OPEN}(?:dot|\.){_SHUT}|(?<=[a-z0-9])\x20dot\x20(?=[a-z0-9]))")
+BRACKETED = re.compile(rf"[(\[{{<]\x20?(?:at|dot|@|\.)\x20?[)\]}}>]|\x20at\x20{_DOTTED_HOST}")
+LAST_WORD = re.compile(r"[a-z0-9._%+-]{1,16}\Z")
 
 
 def fold(text: str) -> str:
@@ -129,7 +140,7 @@ def fold(text: str) -> str:
 
 def hinted(low: str) -> tuple[bool, bool]:
     """Whether folded text can hold spelled digits, and disguised signs."""
-    digits = SPELLED.search(low) is not None if sum(low.count(w) for w in DIGIT_WORDS) >= LEAST_SPELLED else False
+    digits = any(w in low for w in DIGIT_WORDS) and any(ANY_WORD.search(m[0]) for m in SPELLED.finditer(low))
     return digits, " dot " in low or BRACKETED.search(low) is not None
 
 
@@ -185,12 +196,16 @@ def normalise(text: str) -> Rewriting | None:
     if digits:
         edits = []
         for m in SPELLED.finditer(low):
+            if not ANY_WORD.search(m[0]):
+                continue
             for part in SPELLED_PART.finditer(low, *m.span()):
                 edits.append((*part.span(), "+" if part[1] else DIGIT_WORDS[part[2]] if part[2] else ""))
         state = state.apply(edits)
         low = fold(state.text)
     if signs:
-        state = state.apply([(*m.span(), "@" if m["at"] else ".") for m in DISGUISE.finditer(low)])
+        state = state.apply([
+            (*m.span(), "." if m["dot"] else "@") for m in DISGUISE.finditer(low)
+            if not m["plain"] or LAST_WORD.search(low[max(0, m.start() - 16):m.start()])[0] not in NO_MAILBOX])
     return state if state.text != text else None
 
 

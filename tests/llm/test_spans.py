@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -116,3 +117,25 @@ def test_trigram_queries_lose_no_match():
     for text, spans in zip(texts, secret_scan.scan_texts(texts), strict=True):
         want = {(r.kind, *m.span()) for r in secret_scan.RULES for m in re.finditer(r.pattern, text, re.A) if r.accept(m)}
         assert {s for s, _ in spans} == want
+
+
+def test_mixed_disguises():
+    """Plain at before a dotted host, spelled among plain digits, bracketed signs; prose stays."""
+    for text, kind, hit in (
+        ("write to john at example.com today", "email", "john at example.com"),
+        ("call +1 five five five 010 1234 now", "phone", "+1 five five five 010 1234"),
+        ("host 10[.]0[.]0[.]1 is up", "ip", "10[.]0[.]0[.]1"),
+        ("ann[@]mail(.)example.org", "email", "ann[@]mail(.)example.org"),
+        ("four 111 1111 1111 one one one one", "card", "four 111 1111 1111 one one one one"),
+    ):
+        assert [(k, text[s:e], b) for (k, s, e), b in pii.pii_in(text)] == [(kind, hit, False)], text
+    for prose in ("visit us at example.com for more", "we met at noon. then we left", "one or 2 of 3 [...] and two",
+                  "1 2 3 4 5 6 7", "at one of 12 places, two at 7.30", "look at the dot on the map", "seen at night.come in"):
+        assert pii.pii_in(prose) == [], prose
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1 " * 200_000, "one " * 100_000, "a at " * 100_000, "[.]" * 100_000, "1" * 300_000 + "x", "a at b.c" * 50_000):
+        begin = time.process_time()
+        pii.pii_in(text)
+        assert time.process_time() - begin < 5
