@@ -13,6 +13,15 @@ SAMPLE = 4096  # distinct values of a column that its range ranks are made of
 ROW_GROUP_BYTES = 16 << 20
 CLUSTER_BY = ("category", "city", "customer_id")
 BLOOM = ("customer_id", "product_id")
+PART_ROWS = 500_000  # rows of a file or bucket, about
+
+
+def parts(df: DataFrame, least: int, rows: int = PART_ROWS) -> int:
+    """Files or buckets for ``df``: ``least`` for a small table, more as it grows, so that none outgrows a task.
+
+    Counting a stored table reads the footers of its files only.
+    """
+    return max(least, -(-df.count() // rows))
 
 
 def range_borders(df: DataFrame, columns: Sequence[str], bits: int = RANK_BITS, sample: int = SAMPLE) -> dict[str, list]:

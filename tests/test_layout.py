@@ -153,3 +153,16 @@ def test_rejects_split_one_read(spark, tmp_path):
     assert [d.count() for d in strict] == [1, 5]
     assert [d.count() for d in cleaning.split_rejects(raw, ())] == [6, 0]
     assert kept.columns == gone.columns == [*raw.columns, "reasons"]
+
+
+def test_files_and_buckets_grow_with_the_table(spark):
+    small, large = spark.range(1000), spark.range(2_000_001)
+    assert (layout.parts(small, 4), layout.parts(small, 8)) == (4, 8)
+    assert layout.parts(small, 4, rows=100) == 10 and layout.parts(large, 4) == 5
+
+
+def test_stored_transactions_keep_plain_columns_only(spark, t):
+    """What follows from other columns is not written, and the product's long texts are not shuffled to the orders."""
+    written = spark.read.parquet(os.path.dirname(os.path.dirname(t.inputFiles()[0]))).columns
+    assert {"l_extendedprice", "l_discount", "l_quantity", "order_year"} <= set(written)
+    assert not {"final_amount_inr", "original_price_inr", "discounted_price_inr", "festival_name"} & set(written)
