@@ -1,11 +1,14 @@
 """Cleaning rules as column expressions.
 
-Each takes a text column (or its name) and returns a column; all run inside
-whole-stage codegen and never fail on bad text.
+Each takes a text column (or its name) and returns a column, and never fails
+on bad text. What a rule uses several times it works out once (``once``).
+That also keeps a wide cleaning projection from being fused into one method,
+which would be too large for the JVM's compiler.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 from salesprism.functions import fixed_values as fixed
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# A text whose ends are printable ASCII and no space, with nothing but such and spaces between.
+TIDY = r"^[!-~]([ -~]*[!-~])?\z"
+# A day in digits only: no time of day and no month name.
+DIGITS_ONLY = r"^[0-9/.-]+\z"
 # A date, and after it perhaps a time of day with AM or PM.
 DATE_AND_TIME = r"^(.*?)(?:(?:\s+|T)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}(?:\.[0-9]{1,9})?))?\s*([AaPp][Mm])?)?$"
 
@@ -22,6 +29,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(pairs, value: Column, test) -> Column:
     """CASE over ``(pattern, label)`` pairs in order; null when none matches."""
     return reduce(
@@ -33,18 +45,23 @@ def first_match(pairs, value: Column, test) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Text without outer white space of any kind: tabs, line breaks, no-break spaces."""
-    return F.regexp_replace(_col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+    return once(_col(c).cast("string"), lambda text: F.when(text.rlike(TIDY), text).otherwise(
+        F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
 
 
 def normalize_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
 
 
+def _number_in(text: Column, pattern: str, group: int) -> Column:
+    """A group of a match as a double; no text that is no number is cast, which would cost an exception a row."""
+    return once(F.regexp_extract(text, pattern, group), lambda part: F.when(part != "", part)).try_cast("double")
+
+
 def to_number(c: Column | str) -> Column:
     """A finite double, or null for anything that is not a plain number."""
     # the pattern lets no word and no other spelling of a number through, so a cast of its match is finite or too large
-    number = F.regexp_extract(strip(c), NUMBER, 0).try_cast("double")
-    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+    return once(_number_in(strip(c), NUMBER, 0), lambda n: F.when(F.abs(n) < float("inf"), n))
 
 
 def clean_price(c: Column | str) -> Column:
@@ -82,9 +99,9 @@ def title_case(c: Column | str) -> Column:
 
 
 def clean_city(c: Column | str) -> Column:
-    tidy = title_case(normalize_space(c))
     fixes = F.create_map(*[F.lit(v) for pair in {**fixed.CITY_FIXES, "": "Unknown"}.items() for v in pair])
-    return F.coalesce(F.try_element_at(fixes, tidy), tidy, F.lit("Unknown"))
+    return once(title_case(normalize_space(c)), lambda tidy: F.coalesce(
+        F.try_element_at(fixes, tidy), tidy, F.lit("Unknown")))
 
 
 def clean_payment(c: Column | str, strict: bool = False) -> Column:
@@ -118,37 +135,40 @@ def clean_flag(c: Column | str) -> Column:
 
 def clean_rating(c: Column | str) -> Column:
     """Stars out of 5: a number is capped at 5, ``a/b`` is scaled to 5, 0 or less is null."""
-    text = F.regexp_replace(F.lower(_col(c)), fixed.RATING_NOISE, "")
-    number = to_number(text)
     fraction = r"^\s*([0-9]+(?:\.[0-9]+)?) */ *([0-9]+(?:\.[0-9]+)?)"
-    top = F.regexp_extract(text, fraction, 1).try_cast("double")
-    bottom = F.regexp_extract(text, fraction, 2).try_cast("double")
-    scaled = F.try_divide(top, bottom) * 5.0
-    return F.coalesce(
-        F.when(number > 0, F.least(number, F.lit(5.0))),
-        F.when(scaled.isNotNull(), F.bround(F.least(scaled, F.lit(5.0)), 2)),
-    )
 
+    def stars(text: Column) -> Column:
+        top, bottom = _number_in(text, fraction, 1), _number_in(text, fraction, 2)
+        return F.coalesce(
+            once(to_number(text), lambda n: F.when(n > 0, F.least(n, F.lit(5.0)))),
+            once(F.try_divide(top, bottom) * 5.0, lambda n: F.when(n.isNotNull(), F.bround(F.least(n, F.lit(5.0)), 2))))
 
-def date_pieces(c: Column | str) -> dict[str, Column]:
-    """The canonical day and the time of day of a date text, piece by piece; the day's shape selects its layout."""
-    text = strip(c)
+    return once(F.regexp_replace(F.lower(_col(c)), fixed.RATING_NOISE, ""), stars)
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, DATE_AND_TIME, group)
 
+def date_pieces(c: Column | str) -> Column:
+    """The canonical day and the time of day of a date text, piece by piece, as a struct."""
     months = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in fixed.MONTH_NAMES).replace("tember)?", "t(?:ember)?)?")
     gap = "[ ,.-]+"
-    day = F.regexp_replace(part(1), rf"(?i)^({months}){gap}([0-9]{{1,2}}){gap}([0-9]+)$", "$2 $1 $3")
-    day = F.regexp_replace(day, rf"(?i)^([0-9]{{1,2}}){gap}(?=(?:{months}){gap}[0-9]+$)([a-z]{{3}})[a-z]*{gap}", "$1-$2-")
-    day = F.translate(day, "/.", "--")
-    for digits, century in ((fixed.YEARS_OF_1900S, "19"), (fixed.YEARS_OF_2000S, "20")):
-        day = F.regexp_replace(day, rf"^(?<day>[0-9]{{1,2}}-[0-9A-Za-z]{{1,3}}-)(?<year>{digits})$", f"${{day}}{century}${{year}}")
-    return {"whole": F.translate(text, "/", "-"), "day": day, "hour": part(2), "minute": part(3), "second": part(4),
-            "half": F.lower(part(5))}
 
+    def pieces(text: Column, day: Column, *clock: Column) -> Column:
+        day = F.replace(F.replace(day, F.lit("/"), F.lit("-")), F.lit("."), F.lit("-"))
+        for digits, century in ((fixed.YEARS_OF_1900S, "19"), (fixed.YEARS_OF_2000S, "20")):
+            day = F.regexp_replace(day, rf"^(?<day>[0-9]{{1,2}}-[0-9A-Za-z]{{1,3}}-)(?<year>{digits})$", f"${{day}}{century}${{year}}")
+        named = zip(("hour", "minute", "second", "half"), clock, strict=True)
+        return F.struct(F.replace(text, F.lit("/"), F.lit("-")).alias("whole"), day.alias("day"), *[v.alias(name) for name, v in named])
+
+    def cut(text: Column) -> Column:
+        day, hour, minute, second, half = [F.regexp_extract(text, DATE_AND_TIME, group) for group in range(1, 6)]
+        day = F.regexp_replace(day, rf"(?i)^({months}){gap}([0-9]{{1,2}}){gap}([0-9]+)$", "$2 $1 $3")
+        day = F.regexp_replace(day, rf"(?i)^([0-9]{{1,2}}){gap}(?=(?:{months}){gap}[0-9]+$)([a-z]{{3}})[a-z]*{gap}", "$1-$2-")
+        return F.when(text.rlike(DIGITS_ONLY), pieces(text, text, *[F.lit("")] * 4)).otherwise(
+            pieces(text, day, hour, minute, second, F.lower(half)))
 
-def date_from_pieces(p: dict[str, Column]) -> Column:
+    return once(strip(c), cut)
+
+
+def date_from_pieces(p: Column) -> Column:
     """Day-first layouts, then month-first, chosen by the shape of each row's text; a time of day may follow.
 
     The shape test keeps a layout from being tried on text it cannot fit: a
@@ -168,21 +188,22 @@ def date_from_pieces(p: dict[str, Column]) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """A date text as a timestamp, as one expression; null if no layout fits."""
-    return date_from_pieces(date_pieces(c))
+    """A date text as a timestamp; null if no layout fits."""
+    return once(date_pieces(c), date_from_pieces)
 
 
 def clean_delivery_days(c: Column | str) -> Column:
-    text = F.lower(strip(c))
     span = r"^([0-9]+)\s*-\s*([0-9]+)"
-    low = F.regexp_extract(text, span, 1).try_cast("double")
-    high = F.regexp_extract(text, span, 2).try_cast("double")
-    lead = F.regexp_extract(text, r"^([0-9]+)", 1).try_cast("double")
-    return F.coalesce(
-        F.when(text.isin(*fixed.SAME_DAY_WORDS), F.lit(0.0)),
-        (low + high) / 2,
-        F.when(lead <= fixed.MAX_DELIVERY_DAYS, lead),
-    )
+
+    def days(text: Column) -> Column:
+        low, high = _number_in(text, span, 1), _number_in(text, span, 2)
+        lead = _number_in(text, r"^([0-9]+)", 1)
+        return F.coalesce(
+            F.when(text.isin(*fixed.SAME_DAY_WORDS), F.lit(0.0)),
+            (low + high) / 2,
+            once(lead, lambda n: F.when(n <= fixed.MAX_DELIVERY_DAYS, n)))
+
+    return once(F.lower(strip(c)), days)
 
 
 def value_segment(c: Column | str) -> Column:

@@ -78,6 +78,7 @@ DISCOUNT_EDGES = (0, 10, 20, 30, 40, 50, 100)
 ISO_DATE = "^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?([ T].*)?$"
 YEARS_OF_1900S, YEARS_OF_2000S = "69|[7-9][0-9]", "[0-5][0-9]|6[0-8]"
 DATE_SHAPES = (
+    ("^[0-9]{1,2}-(1[3-9]|[2-9][0-9])-[0-9]{4}$", ("M-d-yyyy",)),  # the second number is no month
     ("^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("d-M-yyyy", "M-d-yyyy")),
     ("^[0-9]{8}$", ("yyyyMMdd",)),
     ("^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", ("d-MMM-yyyy",)),

@@ -19,17 +19,13 @@ DUPLICATE_KEYS = ("customer_id", "product_id", "order_date", "final_amount_inr")
 def parse_dates(df: DataFrame, column: str = "order_date", keep_bad: bool = True) -> DataFrame:
     """``column`` as a timestamp; rows without a date go unless ``keep_bad``.
 
-    The pieces of the text are columns of a projection of their own, so they
-    are worked out once a row and not in each layout's branch. Rows without a
-    date are dropped by exploding the list of dates found, which has none or
-    one: a filter on the parsed column would be pushed below the projection
-    and parse every date a second time.
+    Rows without a date are dropped by exploding the list of dates found,
+    which has none or one: a filter on the parsed column would be pushed below
+    the projection and parse every date a second time.
     """
-    pieces = {f"_{name}": c for name, c in clean.date_pieces(column).items()}
-    cut = df.withColumns(pieces)
-    date = clean.date_from_pieces({name[1:]: F.col(name) for name in pieces})
+    date = clean.parse_date(column)
     found = date if keep_bad else F.explode(F.array_compact(F.array(date)))
-    return cut.withColumn("_date", found).withColumn(column, F.col("_date")).drop("_date", *pieces)
+    return df.withColumn("_date", found).withColumn(column, F.col("_date")).drop("_date")
 
 
 def drop_bad_dates(df: DataFrame, column: str = "order_date") -> DataFrame:

@@ -1,11 +1,13 @@
 """Dirty values with the results they must be cleaned to."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from salesprism.functions import cleaners as clean
+from salesprism.functions import fixed_values as fixed
 from salesprism.operators import cleaning
 from salesprism.sources.schema import city_column
 
@@ -123,3 +125,23 @@ def test_quality_report_counts_nulls(spark):
     got = {r.metric: r.value for r in cleaning.quality_report(before, after, ("category", "city")).collect()}
     assert got == {"rows_before": "5", "rows_after": "3", "rows_dropped_due_to_invalid_dates": "2",
                    "top_category_after": "a(2); b(1)", "top_city_after": "nan(2); x(1)"}
+
+
+def test_cleaning_is_not_fused_into_one_method(spark):
+    """A fused method of all rules is too large for the JVM's compiler and then runs many times slower."""
+    raw = spark.createDataFrame([("1", "c", "p", "02/01/2020", "₹5", "delhi", "4/5", "3")], (
+        "transaction_id string, customer_id string, product_id string, order_date string, final_amount_inr string, "
+        "city string, customer_rating string, delivery_days string"))
+    plan = cleaning.clean_rows(raw)._jdf.queryExecution().executedPlan().toString()
+    fused = [line for line in plan.splitlines() if "regexp_" in line and re.match(r"[ :+-]*\*\(", line)]
+    assert "regexp_" in plan and not fused
+
+
+def test_cleaning_casts_and_parses_what_can_fit_only(spark):
+    """Casting a text that is no number, or trying a layout that cannot fit, costs an exception a row."""
+    row = spark.createDataFrame([("12/25/2020", "12-25-2020", "25-12-2020", "13-13-2020")], "a string, b string, c string, d string")
+    got = row.select(*[F.to_date(clean.parse_date(c)).cast("string") for c in "abcd"]).first()
+    assert tuple(got) == ("2020-12-25", "2020-12-25", "2020-12-25", None)
+    rules = row.select(clean.to_number("a"), clean.clean_rating("b"), clean.clean_delivery_days("c"))
+    assert "cast(regexp_extract" not in rules._jdf.queryExecution().analyzed().toString()
+    assert any(re.match(shape, "12-25-2020") and "d-M-yyyy" not in layouts for shape, layouts in fixed.DATE_SHAPES[:1])
