@@ -9,6 +9,7 @@ from salesprism.llm import bpe, langid, minhash, mixing, pii
 from salesprism.llm.queries import tokenizer
 from salesprism.session import stage
 
+KEPT_WORDS = 300_000  # of a worker: the stages before have filled the executor's memory by then
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,10 +43,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text and whether they decode to it again."""
-    coder = tokenizer(spark)
-    coded = docs.select("doc_id", "source", "lang", "text", coder.encode(F.col("text")).alias("ids"))
-    same = coder.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", "lang", bpe.count(F.col("ids")).alias("n_tokens"), "ids", same.alias("round_trip"))
+    coder = tokenizer(spark, KEPT_WORDS)
+    coded = docs.select("doc_id", "source", "lang", coder.encode_and_check(F.col("text")).alias("_c"))
+    return coded.select(
+        "doc_id", "source", "lang", bpe.count(F.col("_c.ids")).alias("n_tokens"), "_c.ids", F.col("_c.same").alias("round_trip"))
 
 
 STAGES = [

@@ -43,6 +43,7 @@ class Vocabulary:
 
     ranks: dict[bytes, int]
     pattern: str
+    most_words: int = MOST_WORDS
     known: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -60,7 +61,7 @@ class Vocabulary:
         self.byte_unions = self._ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def __reduce__(self):
-        return Vocabulary, (self.ranks, self.pattern)
+        return Vocabulary, (self.ranks, self.pattern, self.most_words)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -69,7 +70,7 @@ class Vocabulary:
         known, parts = self.known, [self.split(t) for t in texts]
         words = set(chain.from_iterable(parts))
         fresh = words.difference(known)
-        if fresh and len(known) + len(fresh) > MOST_WORDS:
+        if fresh and len(known) + len(fresh) > self.most_words:
             known.clear()
             fresh = words
         raw = {w: w.encode("utf-8", "surrogatepass") for w in fresh}
@@ -213,8 +214,8 @@ def blocks(texts: pa.Array) -> Iterator[list[str]]:
 class Tokenizer:
     """Encoding and decoding of columns; the vocabulary is broadcast once."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.shared = spark.sparkContext.broadcast(Vocabulary(ranks, pattern))
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, most_words: int = MOST_WORDS):
+        self.shared = spark.sparkContext.broadcast(Vocabulary(ranks, pattern, most_words))
 
     def encode(self, text: Column) -> Column:
         """Ids of a text as little-endian unsigned 32-bit integers; no ids for null."""
@@ -226,6 +227,21 @@ class Tokenizer:
 
         return F.arrow_udf(run, "binary")(text)
 
+    def encode_and_check(self, text: Column) -> Column:
+        """(ids, same): the ids of a text and whether they decode to it, in one pass and so one Python worker a task."""
+        shared = self.shared
+
+        def run(texts: pa.Array) -> pa.Array:
+            words, ids, same = shared.value, [], []
+            for block in blocks(texts):
+                coded = words.encode_all(block)
+                ids.append(pa.array(coded, pa.binary()))
+                same += [words.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(coded, block, strict=True)]
+            joined = pa.concat_arrays(ids) if ids else pa.array([], pa.binary())
+            return pa.StructArray.from_arrays([joined, pa.array(same, pa.bool_())], ["ids", "same"])
+
+        return F.arrow_udf(run, "ids binary, same boolean")(text)
+
     def decode(self, ids: Column) -> Column:
         """Bytes that the ids stand for."""
         shared = self.shared

@@ -30,9 +30,9 @@ def _span_report(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     )
 
 
-def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+def tokenizer(spark: SparkSession, most_words: int = bpe.MOST_WORDS) -> bpe.Tokenizer:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.Tokenizer(spark, ranks, public_tokenizers.PATTERN)
+    return bpe.Tokenizer(spark, ranks, public_tokenizers.PATTERN, most_words)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,18 @@ def test_query_on_nulls_and_repeats(spark, tmp_path):
     empty = hashlib.sha256(b"").hexdigest()
     assert (None, 0, empty, empty) in got and (3, 0, empty, empty) in got and len(got) == 3
     assert any(r[0] == 1 and r[1] == 2 and r[3] == hashlib.sha256(b"hello world").hexdigest() for r in got)
+
+
+def test_encoding_is_checked_in_one_pass_with_few_words_kept(spark):
+    """The pipeline's last stage runs one Python worker a task, which keeps as many words as it is told."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "i int, text string")
+    coder = queries.tokenizer(spark, most_words=3)
+    coded = docs.select("i", coder.encode_and_check(docs.text).alias("c")).select("i", "c.ids", "c.same")
+    assert coded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in coded.collect():
+        want = YARDSTICK.encode_ordinary(TEXTS[r.i]) if r.i < len(TEXTS) else []
+        assert bpe.as_list(r.ids) == want and r.same
+    words = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN, 3)
+    for text in TEXTS:
+        words.encode(text)
+    assert max(len(words.split(t)) for t in TEXTS) >= len(words.known)
