@@ -40,6 +40,7 @@ POOL = 100  # nodes a query keeps at first
 RECALL = 0.95  # of the sample's true neighbours
 SAMPLE = 200  # queries compared with all nodes
 SALTS = 32
+OFFERS = 200_000  # made before they are handed on, about
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -62,6 +63,19 @@ def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     return merged.select(F.element_at("ids", 1).alias("id"), "vec", "ids")
 
 
+def _handed_on(offers: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Offers as batches of about ``OFFERS``: those of a whole batch of neighbourhoods may be very many."""
+    some, held = [], 0
+    for part in offers:
+        some.append(part)
+        held += len(part[0])
+        if held >= OFFERS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*some, strict=True)], names)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*some, strict=True)], names)
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(vectors), -1).astype(np.float64)
@@ -73,9 +87,8 @@ def meet(hoods: DataFrame, most: int) -> DataFrame:
     Two members that are not new have met before.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            found = []
             for members in batch.column("members"):
                 members = members.values
                 ids, bound, new = (members.field(c).to_numpy(zero_copy_only=False) for c in ("a", "bound", "new"))
@@ -92,10 +105,10 @@ def meet(hoods: DataFrame, most: int) -> DataFrame:
                     at = best[row, at]
                 else:
                     row, at = np.nonzero(better)
-                found.append((ids[row], ids[at], s[row, at]))
-            if found:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "s"])
+                yield ids[row], ids[at], s[row, at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _handed_on(met(batches), ["a", "b", "s"])
 
     return hoods.select("members").mapInArrow(run, "a long, b long, s double").withColumn("new", F.lit(True))
 
@@ -202,17 +215,16 @@ def found_share(state: DataFrame, best: dict[int, list[float]], k: int) -> float
 def expanded(asks: DataFrame) -> DataFrame:
     """Offers (q, b, s): of each node's members those above the bounds of the queries that ask there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            found = []
             for ask, members in zip(batch.column("asks"), batch.column("members"), strict=True):
                 ask, members = ask.values, members.values
                 s = _matrix(ask.field("vec")) @ _matrix(members.field("vec")).T
                 row, at = np.nonzero(s > ask.field("bound").to_numpy()[:, None])
-                found.append((ask.field("q").to_numpy()[row], members.field("a").to_numpy()[at], s[row, at]))
-            if found:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["q", "b", "s"])
+                yield ask.field("q").to_numpy()[row], members.field("a").to_numpy()[at], s[row, at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _handed_on(told(batches), ["q", "b", "s"])
 
     return asks.select("asks", "members").mapInArrow(run, "q long, b long, s double")
 

@@ -61,3 +61,11 @@ def test_search_goes_on_until_pools_are_settled(spark):
         [(i, [(-float(i + 1) * (i + 2), i + 1, False)]) for i in range(29)], "id long, near array<struct<cost:double,b:long,new:boolean>>")
     found = ann.greedy_search(nodes.where("id = 0"), nodes, graph, pool=10).collect()
     assert {29, 28, 27, 26, 25} <= {r["b"] for r in found}
+
+
+def test_offers_of_many_neighbourhoods_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(ann, "OFFERS", 10)
+    part = (np.arange(4), np.arange(4), np.ones(4))
+    pieces = list(ann._handed_on(iter([part] * 10), ["a", "b", "s"]))
+    assert [p.num_rows for p in pieces] == [12, 12, 12, 4] and pieces[0].schema.names == ["a", "b", "s"]
+    assert not list(ann._handed_on(iter([]), ["a", "b", "s"]))
