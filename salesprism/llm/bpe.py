@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
@@ -54,10 +55,14 @@ class Vocabulary:
             tokens[rank] = token
         self.pieces = pa.array(tokens, pa.large_binary())
         self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
-        unions = sorted(
-            (self.ranks[t[:i]] << 32 | self.ranks[t[i:]], rank) for t, rank in self.ranks.items()
-            for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
-        self.unions, self.union_ranks = np.array([*unions, (NEVER, NEVER)], np.int64).T.copy()
+        keys, found = array("q", [NEVER]), array("q", [NEVER])  # no objects: each worker builds this
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None:
+                    keys.append(left << 32 | right)
+                    found.append(rank)
+        order = np.argsort(keys)
+        self.unions, self.union_ranks = np.array(keys)[order], np.array(found)[order]
         self.byte_unions = self._ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def __reduce__(self):

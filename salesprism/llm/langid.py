@@ -193,14 +193,15 @@ PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField(
 
 
 def language(text: Column, model: Model, session) -> Column:
-    """Struct (lang, score) for a text column."""
+    """Struct (lang, score) for a text column; a filter on it does not predict a second time."""
     shared = session.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
         names, scores = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return F.arrow_udf(run, PREDICTION)(text)
+    # else Spark copies the call into the filter: two predictions and two Python workers a task
+    return F.arrow_udf(run, PREDICTION).asNondeterministic()(text)
 
 
 def held_out(doc_id: Column) -> Column:

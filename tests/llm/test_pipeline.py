@@ -45,3 +45,13 @@ def test_every_stage_takes_effect(spark):
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     for r in after.limit(40).collect():
         assert r["n_tokens"] == len(YARDSTICK.encode_ordinary(texts[r["doc_id"]]))
+
+
+def test_language_is_predicted_once(spark):
+    """The filter on the found language does not run the prediction again, in a Python worker of its own."""
+    docs = spark.createDataFrame(
+        [(1, "the cat and the dog", "en", "a", 19), (2, "le chat et le chien", None, "a", 19), (3, "123", "en", "a", 3), (4, None, "en", "a", 0)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.identify_language(spark, docs, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in found.collect()} == {1, 2}
