@@ -2,8 +2,8 @@
 
 Equal vectors are one node; a node keeps its smallest ids, as many as any
 answer can need, so ties among copies are settled exactly and a group of
-copies costs one node. The graph starts from random blocks, each compared in
-itself. A round then joins every node with its neighbours and a bounded draw
+copies costs one node. The graph starts from leaves of random planes, each
+compared in itself. A round then joins every node with its neighbours and a bounded draw
 of those it is a neighbour of; inside such a neighbourhood all meet all but
 those that were there before, and an offer is made only where it beats the
 worst neighbour a node has. Rounds go on until the summed scores gain less
@@ -13,12 +13,17 @@ Queries start from their own node and expand the best nodes not yet expanded,
 until none is left in the pool. How wide a pool must be depends on the table,
 so it is measured: a bounded sample of the queries is compared with all nodes,
 and the pools are doubled until ``RECALL`` of the sample's true neighbours is
-found, or until a pool holds all that can be reached.
+found, or until a pool holds all that can be reached. Twice the pool is kept,
+so that a doubled one goes on where the narrower ended.
+
+Neighbourhoods travel as one row a member, with the vector in half precision
+in one binary value, and are met as sorted rows stream by: a task holds one
+neighbourhood and one Arrow batch. Scores returned are of the stored vectors.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one, nor null
 ids. Of rows that repeat an id, the smallest vector counts. Only row counts,
-sums and the vectors of the sample (at most ``SAMPLE``) reach the driver.
+sums and the vectors of two samples (at most ``SAMPLE`` each) reach the driver.
 """
 
 from __future__ import annotations
@@ -33,12 +38,14 @@ from pyspark.sql import functions as F
 from salesprism.session import stage
 
 NEIGHBOURS = 40
-BLOCK = 100  # nodes of a random block, in the mean
-START_BLOCKS = 2
+LEAF = 1000  # nodes of a starting leaf, about
+TREES = 4  # starting leaves of a node
+ROWS = 256  # of a neighbourhood's scores held at once
+ASKS = 1000  # queries that ask at one node, handled together
 LEAST_GAIN = 0.002
 POOL = 100  # nodes a query keeps at first
 RECALL = 0.95  # of the sample's true neighbours
-SAMPLE = 200  # queries compared with all nodes
+SAMPLE = 200  # queries compared with all nodes; nodes that planes are laid through
 SALTS = 32
 OFFERS = 200_000  # made before they are handed on, about
 
@@ -81,36 +88,116 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1).astype(np.float64)
 
 
-def meet(hoods: DataFrame, most: int) -> DataFrame:
+def brief(nodes: DataFrame) -> DataFrame:
+    """(id, vec) with each vector as its largest absolute component and half-precision shares of it, in one binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _matrix(batch.column("vec"))
+            size = np.abs(x).max(axis=1, keepdims=True)
+            raw = np.hstack([size.astype("<f8").view(np.uint8), (x / size).astype("<f2").view(np.uint8)])
+            edges = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(edges), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed], ["id", "vec"])
+
+    return nodes.select("id", "vec").mapInArrow(run, "id long, vec binary")
+
+
+def _read_brief(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shares, and the size they are of."""
+    _, edges, data = vectors.buffers()
+    edges = np.frombuffer(edges, np.int32)[vectors.offset:vectors.offset + len(vectors) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]].reshape(len(vectors), -1)
+    return raw[:, 8:].copy().view("<f2").astype(np.float32), raw[:, :8].copy().view("<f8")[:, 0]
+
+
+def _together(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, shares, sizes) of the rows of each key; rows come sorted by it, and no more than a batch and a key are held."""
+    held: list[pa.RecordBatch] = []
+
+    def parts(rows: pa.RecordBatch, edges: list[int]) -> Iterator[tuple]:
+        columns = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in rows.schema.names if n != "vec"}
+        x, size = _read_brief(rows.column("vec"))
+        for begin, end in zip(edges, edges[1:], strict=False):
+            yield {n: c[begin:end] for n, c in columns.items()}, x[begin:end], size[begin:end]
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+        change = np.zeros(rows.num_rows - 1, bool)
+        for n in keys:
+            key = rows.column(n).to_numpy(zero_copy_only=False)
+            change |= key[1:] != key[:-1]
+        edges = (np.flatnonzero(change) + 1).tolist()
+        if edges:
+            yield from parts(rows, [0, *edges])
+        held = [rows.slice(edges[-1] if edges else 0)]
+    if held:
+        yield from parts(held[0], [0, held[0].num_rows])
+
+
+def meet(members: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Offers (a, b, s, new) inside each neighbourhood: for every member its best others above its bound.
 
-    Two members that are not new have met before.
+    ``members`` holds (keys, a, bound, new, vec), one row a member of the
+    neighbourhood that ``keys`` name. Two members that are not new have met before.
     """
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for members in batch.column("members"):
-                members = members.values
-                ids, bound, new = (members.field(c).to_numpy(zero_copy_only=False) for c in ("a", "bound", "new"))
-                if len(ids) < 2:
-                    continue
-                x = _matrix(members.field("vec"))
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                s[np.ix_(~new, ~new)] = -np.inf
-                better = s > bound[:, None]
+        for rows, x, size in _together(batches, keys):
+            ids, bound, new = rows["a"], rows["bound"], rows["new"]
+            for at in range(0, len(ids) if len(ids) > 1 else 0, ROWS):
+                own = slice(at, at + ROWS)
+                s = (x[own] @ x.T).astype(np.float64) * size[own, None] * size
+                s[ids[own, None] == ids] = -np.inf
+                s[np.ix_(~new[own], ~new)] = -np.inf
+                better = s > bound[own, None]
                 if better.sum(axis=1).max() > most:
                     best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                    row, at = np.nonzero(np.take_along_axis(better, best, 1))
-                    at = best[row, at]
+                    row, to = np.nonzero(np.take_along_axis(better, best, 1))
+                    to = best[row, to]
                 else:
-                    row, at = np.nonzero(better)
-                yield ids[row], ids[at], s[row, at]
+                    row, to = np.nonzero(better)
+                yield ids[own][row], ids[to], s[row, to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _handed_on(met(batches), ["a", "b", "s"])
 
-    return hoods.select("members").mapInArrow(run, "a long, b long, s double").withColumn("new", F.lit(True))
+    rows = members.select(*keys, "a", "bound", "new", "vec").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long, s double").withColumn("new", F.lit(True))
+
+
+def leaves(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(tree, leaf, part, a, vec): where each node starts, once per tree.
+
+    A leaf is the side of some random planes that a node lies on; a plane runs
+    through the median of a sample. Leaves that are far too large, as of
+    vectors that hardly differ, are dealt by hash.
+    """
+    planes = max(0, int(np.log2(max(1, nodes.count()) / LEAF)))
+    sample = np.array([r["vec"] for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], np.float64)
+    width = sample.shape[1] if len(sample) else 0
+    ways = np.random.default_rng(width).normal(size=(width, TREES * planes))
+    middle = np.median(sample @ ways, axis=0) if len(sample) else np.empty(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, size = _read_brief(batch.column("vec"))
+            side = (x.astype(np.float64) * size[:, None]) @ ways > middle
+            for tree in range(TREES):
+                leaf = side[:, tree * planes:(tree + 1) * planes] @ (1 << np.arange(planes, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(x), tree, np.int32)), pa.array(leaf.astype(np.int64)), batch.column("id"), batch.column("vec"),
+                ], ["tree", "leaf", "a", "vec"])
+
+    placed = vectors.mapInArrow(run, "tree int, leaf long, a long, vec binary")
+    counts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("parts"))
+    return placed.join(counts, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("a", "tree"), F.col("parts")))
 
 
 def best_of(offers: DataFrame, most: int) -> DataFrame:
@@ -150,13 +237,9 @@ def _total(graph: DataFrame) -> float | None:
 
 def neighbour_graph(nodes: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
     """NN-descent over nodes (id, vec)."""
-    blocks = max(1, nodes.count() // BLOCK)
-    member = F.struct(F.col("id").alias("a"), F.lit(float("-inf")).alias("bound"), F.lit(True).alias("new"), "vec")
-    spread = nodes.select(member.alias("m"), F.explode(F.array(*(
-        F.struct(F.lit(r).alias("r"), F.pmod(F.xxhash64("id", F.lit(r)), F.lit(blocks)).alias("k"))
-        for r in range(START_BLOCKS)))).alias("block"))
-    hoods = spread.groupBy("block").agg(F.collect_list("m").alias("members"))
-    graph = stage(best_of(meet(hoods, most), most), "ann-graph")
+    vectors = stage(brief(nodes), "ann-brief")
+    start = leaves(nodes, vectors).withColumns({"bound": F.lit(float("-inf")), "new": F.lit(True)})
+    graph = stage(best_of(meet(start, ["tree", "leaf", "part"], most), most), "ann-graph")
     total, turn = _total(graph), 0
     while total is not None:
         edges = _edges(graph)
@@ -168,9 +251,8 @@ def neighbour_graph(nodes: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
         own = F.collect_list(F.struct("a", "new")).alias("own")
         pairs = pairs.groupBy("hub").agg(own).where(F.exists("own", lambda m: m["new"])).select(
             "hub", F.explode("own").alias("m")).select("hub", "m.a", "m.new")
-        told = nodes.select(F.col("id").alias("a"), "vec").join(graph.select(F.col("id").alias("a"), "bound"), "a")
-        hoods = pairs.join(told, "a").groupBy("hub").agg(F.collect_list(F.struct("a", "bound", "new", "vec")).alias("members"))
-        graph = stage(best_of(as_offers(graph).union(meet(hoods, most)), most), "ann-graph")
+        told = vectors.select(F.col("id").alias("a"), "vec").join(graph.select(F.col("id").alias("a"), "bound"), "a")
+        graph = stage(best_of(as_offers(graph).union(meet(pairs.join(told, "a"), ["hub"], most)), most), "ann-graph")
         now = _total(graph)
         if now - total <= LEAST_GAIN * abs(now):
             break
@@ -212,60 +294,82 @@ def found_share(state: DataFrame, best: dict[int, list[float]], k: int) -> float
     return (hits or 0) / sum(map(len, best.values()))
 
 
-def expanded(asks: DataFrame) -> DataFrame:
-    """Offers (q, b, s): of each node's members those above the bounds of the queries that ask there."""
+def expanded(fresh: DataFrame, asked: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Offers (q, b, s): of the nodes that b is linked with those above the bound of the query q, for each (q, b, bound).
+
+    The queries that ask at one node are dealt in parts of about ``ASKS``, each with the links repeated.
+    """
+    parts = fresh.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ASKS).alias("parts"))
+    asks = fresh.join(parts, "b").select("b", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"), "q", "bound").join(
+        asked, "q").select("b", "part", F.lit(True).alias("asks"), F.col("q").alias("id"), "bound", "vec")
+    hoods = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(
+        links.withColumnRenamed("hub", "b"), "b").join(vectors.withColumnRenamed("id", "a"), "a").select(
+        "b", "part", F.lit(False).alias("asks"), F.col("a").alias("id"), F.lit(float("-inf")).alias("bound"), "vec")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for ask, members in zip(batch.column("asks"), batch.column("members"), strict=True):
-                ask, members = ask.values, members.values
-                s = _matrix(ask.field("vec")) @ _matrix(members.field("vec")).T
-                row, at = np.nonzero(s > ask.field("bound").to_numpy()[:, None])
-                yield ask.field("q").to_numpy()[row], members.field("a").to_numpy()[at], s[row, at]
+        for rows, x, size in _together(batches, ["b", "part"]):
+            ids, asks, bound = rows["id"], rows["asks"], rows["bound"]
+            s = (x[asks] @ x[~asks].T).astype(np.float64) * size[asks, None] * size[~asks]
+            row, at = np.nonzero(s > bound[asks, None])
+            yield ids[asks][row], ids[~asks][at], s[row, at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _handed_on(told(batches), ["q", "b", "s"])
 
-    return asks.select("asks", "members").mapInArrow(run, "q long, b long, s double")
+    return asks.unionByName(hoods).repartition("b", "part").sortWithinPartitions("b", "part").mapInArrow(
+        run, "q long, b long, s double")
+
+
+def scored(pools: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pools (q, b, s) with scores of the vectors as they are stored, in double precision."""
+    vec = nodes.select("id", "vec")
+    pairs = pools.select("q", "b").join(vec.select(F.col("id").alias("q"), F.col("vec").alias("_x")), "q").join(
+        vec.select(F.col("id").alias("b"), F.col("vec").alias("_y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = (_matrix(batch.column("_x")) * _matrix(batch.column("_y"))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("b"), pa.array(s)], ["q", "b", "s"])
+
+    return pairs.select("q", "b", "_x", "_y").mapInArrow(run, "q long, b long, s double")
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, pool: int = POOL, k: int = 20) -> DataFrame:
     """Pools (q, b, s): for each query node the best nodes found."""
-    vec = nodes.select("id", "vec")
+    vectors = stage(brief(nodes), "ann-brief")
     asked = stage(queries.select(F.col("id").alias("q")).distinct().join(
-        vec.withColumnRenamed("id", "q"), "q"), "ann-asked")
+        vectors.withColumnRenamed("id", "q"), "q"), "ann-asked")
     edges = _edges(graph)
     # nodes that are nobody's neighbour are met from their own neighbours
-    links = edges.select("hub", F.col("b").alias("a")).union(
-        _backward(edges, F.col("cost"), NEIGHBOURS // 2).select("hub", "a")).distinct()
-    hoods = stage(links.join(vec.withColumnRenamed("id", "a"), "a").groupBy(F.col("hub").alias("b")).agg(
-        F.collect_list(F.struct("a", "vec")).alias("members")), "ann-hoods")
-    best = least_scores(asked, nodes, k)
-    every = nodes.count()
+    links = stage(edges.select("hub", F.col("b").alias("a")).union(
+        _backward(edges, F.col("cost"), NEIGHBOURS // 2).select("hub", "a")).distinct(), "ann-links")
+    best = least_scores(asked.select("q").join(nodes.select(F.col("id").alias("q"), "vec"), "q"), nodes, k)
+    every, kept = nodes.count(), 2 * pool
     in_pool = Window.partitionBy("q")
-    order = in_pool.orderBy(F.desc("s"), "b")  # at most the pool and one round's offers
+    order = in_pool.orderBy(F.desc("s"), "b")  # at most what is kept and one round's offers
 
     def settled(offers: DataFrame) -> DataFrame:
         once = offers.repartition("q").groupBy("q", "b").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        once = once.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pool)
-        full = F.count(F.lit(1)).over(in_pool) == pool
+        once = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
+        full = F.count(F.lit(1)).over(in_pool) == kept
         return stage(once.withColumn("bound", F.when(full, F.min("s").over(in_pool)).otherwise(
-            F.lit(float("-inf")))).drop("_rank"), "ann-pool")
+            F.lit(float("-inf")))), "ann-pool")
 
     # the query's own node is expanded first
-    own = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
-    state = settled(asked.select("q", F.col("q").alias("b"), own.alias("s"), F.lit(False).alias("done")))
+    state = settled(scored(asked.select("q", F.col("q").alias("b")), nodes).withColumn("done", F.lit(False)))
     while True:
-        while not (fresh := state.where(~F.col("done"))).isEmpty():
-            asks = fresh.join(asked, "q").groupBy("b").agg(F.collect_list(F.struct("q", "bound", "vec")).alias("asks"))
-            offers = expanded(asks.join(hoods, "b")).withColumn("done", F.lit(False))
-            state = settled(state.select("q", "b", "s", F.lit(True).alias("done")).union(offers))
-        if found_share(state, best, k) >= RECALL or pool >= every or state.where(
-                F.col("bound") > float("-inf")).isEmpty():
-            return state.select("q", "b", "s")
-        pool *= 2
-        # what the narrower pool dropped is offered again
-        state = settled(state.select("q", "b", "s", F.lit(False).alias("done")))
+        fresh = F.col("rank") <= pool
+        while not (asks := state.where(fresh & ~F.col("done"))).isEmpty():
+            offers = expanded(asks.select("q", "b", "bound"), asked, links, vectors).withColumn("done", F.lit(False))
+            state = settled(state.select("q", "b", "s", (F.col("done") | fresh).alias("done")).union(offers))
+        found = stage(scored(state, nodes), "ann-found")
+        if found_share(found, best, k) >= RECALL or pool >= every or state.where(~fresh).isEmpty():
+            return found
+        pool *= 2  # goes on with the nodes that were kept behind the narrower pool
+        if pool > kept:  # what was dropped is offered again
+            kept = 2 * pool
+            state = settled(state.select("q", "b", "s", F.lit(False).alias("done")))
 
 
 def search(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from salesprism.llm import ann, queries
 
@@ -69,3 +70,46 @@ def test_offers_of_many_neighbourhoods_come_in_pieces(monkeypatch):
     pieces = list(ann._handed_on(iter([part] * 10), ["a", "b", "s"]))
     assert [p.num_rows for p in pieces] == [12, 12, 12, 4] and pieces[0].schema.names == ["a", "b", "s"]
     assert not list(ann._handed_on(iter([]), ["a", "b", "s"]))
+
+
+def test_neighbourhoods_stream_in_small_rows(spark):
+    """No row holds a neighbourhood: what Python gets at once does not grow with its members."""
+    members = spark.range(500).selectExpr("id % 5 hub", "id a", "double('-inf') bound", "true new", "array(float(id + 1), 1f) vec")
+    packed = ann.brief(members.selectExpr("a id", "vec")).withColumnRenamed("id", "a")
+    offers = ann.meet(members.drop("vec").join(packed, "a"), ["hub"], 3)
+    assert "collect_list" not in offers._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in offers.collect():
+        assert r["a"] % 5 == r["b"] % 5 != r["a"] + 1 and abs(r["s"] - (r["a"] + 1) * (r["b"] + 1) - 1) <= 2e-3 * r["s"]
+        got.setdefault(r["a"], set()).add(r["b"])
+    assert got[7] == {497, 492, 487} and len(got) == 500
+
+
+def test_a_key_over_several_batches_is_met_once():
+    raw = pa.array([np.float64(1).tobytes() + np.float16([i]).tobytes() for i in range(10)], pa.binary())
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 0, 1, 1, 1, 1, 1, 2, 2]), pa.array(range(10)), raw], ["hub", "a", "vec"])
+    parts = list(ann._together(iter([rows.slice(0, 2), rows.slice(2, 3), rows.slice(5, 0), rows.slice(5, 2), rows.slice(7, 3)]), ["hub"]))
+    assert [p[0]["a"].tolist() for p in parts] == [[0, 1, 2], [3, 4, 5, 6, 7], [8, 9]]
+    assert [p[1][:, 0].tolist() for p in parts] == [[0, 1, 2], [3, 4, 5, 6, 7], [8, 9]]
+
+
+def test_queries_that_ask_at_one_node_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKS", 3)
+    vectors = ann.brief(spark.createDataFrame([(i, [float(i + 1)]) for i in range(20)], "id long, vec array<double>"))
+    links = spark.createDataFrame([(0, 18), (0, 19)], "hub long, a long")
+    fresh = spark.createDataFrame([(q, 0, 19.5 * (q + 1)) for q in range(10)], "q long, b long, bound double")
+    got = ann.expanded(fresh, vectors.withColumnRenamed("id", "q"), links, vectors).collect()
+    assert {(r["q"], r["b"]) for r in got} == {(q, 19) for q in range(10)} and len(got) == 10
+
+
+def test_a_doubled_pool_goes_on_where_the_narrower_ended(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, draw.normal(size=8).tolist()) for i in range(60)], "id long, vec array<double>")
+    graph = spark.createDataFrame(
+        [(i, [(0.0, (i * 7 + j) % 60, False) for j in range(1, 5)]) for i in range(60)], "id long, near array<struct<cost:double,b:long,new:boolean>>")
+    asked, shares = [], iter([0.0, 1.0])
+    plain = ann.expanded
+    monkeypatch.setattr(ann, "found_share", lambda *a: next(shares))
+    monkeypatch.setattr(ann, "expanded", lambda fresh, *a: (asked.extend((r["q"], r["b"]) for r in fresh.collect()), plain(fresh, *a))[1])
+    ann.greedy_search(nodes.where("id < 5"), nodes, graph, pool=10)
+    assert len(asked) == len(set(asked)) > 50
