@@ -8,7 +8,8 @@ one merge of each at a time; words over ``SHORT`` bytes one by one. The rank
 map is a literal of the vocabulary's size, independent of the corpus. The
 words kept are bounded (``MOST_WORDS``); past that they are folded again, with
 the same result. Texts are handled in blocks of ``BLOCK`` bytes; a longer text
-is a block of its own.
+is a block of its own. Words are folded in tables of at most ``CELLS`` places,
+so that a worker's memory follows neither its block nor its Arrow batch.
 
 Ids travel as little-endian unsigned 32-bit integers in one binary value, so
 that digests and lengths are plain Spark functions. Null and empty texts have
@@ -35,7 +36,9 @@ MOST_WORDS = 800_000
 SHORT = 32  # bytes of a word that is folded together with others
 WIDTHS = (8, 16, SHORT)  # words up to these sizes share a table
 BLOCK = 1 << 20  # bytes of texts handled at once
-NEVER = np.iinfo(np.int64).max  # rank of a union without one
+CELLS = 1 << 17  # places of words folded in one table
+NEVER = np.iinfo(np.int32).max  # rank of a union without one
+NO_UNION = np.iinfo(np.int64).max  # stands behind all pairs of ranks
 
 
 @dataclass
@@ -54,8 +57,8 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.pieces = pa.array(tokens, pa.large_binary())
-        self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
-        keys, found = array("q", [NEVER]), array("q", [NEVER])  # no objects: each worker builds this
+        self.byte_ids = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        keys, found = array("q", [NO_UNION]), array("i", [NEVER])  # no objects: each worker builds this
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None:
@@ -98,10 +101,11 @@ class Vocabulary:
             else:
                 at_width[next(w for w in WIDTHS if len(word) <= w)].append(i)
         for width, places in at_width.items():
-            if places:
-                table, sizes = self._merged([words[i] for i in places], width)
+            for begin in range(0, len(places), CELLS // width):
+                part = places[begin:begin + CELLS // width]
+                table, sizes = self._merged([words[i] for i in part], width)
                 flat = table.astype("<u4").tobytes()
-                for row, (i, n) in enumerate(zip(places, sizes.tolist(), strict=True)):
+                for row, (i, n) in enumerate(zip(part, sizes.tolist(), strict=True)):
                     out[i] = flat[4 * width * row:4 * (width * row + n)]
         return out
 
@@ -138,7 +142,7 @@ class Vocabulary:
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of unions of neighbours; ``NEVER`` where there is none or a row has ended."""
-        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        key = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 32 | right)
         at = np.searchsorted(self.unions, key)
         return np.where(self.unions[at] == key, self.union_ranks[at], NEVER)
 
@@ -216,6 +220,15 @@ def blocks(texts: pa.Array) -> Iterator[list[str]]:
             yield [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
 
 
+def checked(words: Vocabulary, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Structs (ids, same) of the texts; each block goes back to Spark as soon as it is done."""
+    for texts in batches:
+        for block in blocks(texts):
+            ids = words.encode_all(block)
+            same = [words.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, block, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["ids", "same"])
+
+
 class Tokenizer:
     """Encoding and decoding of columns; the vocabulary is broadcast once."""
 
@@ -236,14 +249,8 @@ class Tokenizer:
         """(ids, same): the ids of a text and whether they decode to it, in one pass and so one Python worker a task."""
         shared = self.shared
 
-        def run(texts: pa.Array) -> pa.Array:
-            words, ids, same = shared.value, [], []
-            for block in blocks(texts):
-                coded = words.encode_all(block)
-                ids.append(pa.array(coded, pa.binary()))
-                same += [words.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(coded, block, strict=True)]
-            joined = pa.concat_arrays(ids) if ids else pa.array([], pa.binary())
-            return pa.StructArray.from_arrays([joined, pa.array(same, pa.bool_())], ["ids", "same"])
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return checked(shared.value, batches)
 
         return F.arrow_udf(run, "ids binary, same boolean")(text)
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesprism.llm.words import blocks as byte_blocks
 from salesprism.session import stage
 
 UNKNOWN = "und"
@@ -38,7 +39,7 @@ LEAST_SHARE = 1e-4  # of a language's n-grams
 RIVAL = 0.25  # of the n-gram's largest share in any language
 HASHES = 3
 SLOTS_PER_GRAM = 12
-BLOCK = 1 << 20  # characters handled at once
+BLOCK = 1 << 18  # characters, or bytes, of texts handled at once
 SPACE = 32
 
 
@@ -164,12 +165,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            langs = batch.column("lang").to_pylist()
             order = sorted(range(len(langs)), key=langs.__getitem__)
-            langs, texts = [langs[i] for i in order], [texts[i] for i in order]
+            langs, texts = [langs[i] for i in order], batch.column("text").take(pa.array(order, pa.int64()))
             code = np.unique(langs, return_inverse=True)[1] if langs else np.empty(0, np.int64)
-            for begin, end in blocks(texts):
-                found, row = grams(texts[begin:end])
+            for begin, end in byte_blocks(texts, BLOCK) if langs else ():
+                found, row = grams(texts.slice(begin, end - begin).to_pylist())
                 own = code[begin:end][row]
                 for c in np.unique(own):
                     values, counts = np.unique(found[own == c], return_counts=True)
@@ -192,13 +193,23 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
+def predictions(model: Model, texts: pa.Array) -> pa.Array:
+    """Struct (lang, score) of each text; texts become Python's a block at a time."""
+    names: list[str] = []
+    scores: list[float] = []
+    for begin, end in byte_blocks(texts, BLOCK) if len(texts) else ():
+        lang, score = model.predict(texts.slice(begin, end - begin).to_pylist())
+        names += lang
+        scores += score
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+
 def language(text: Column, model: Model, session) -> Column:
     """Struct (lang, score) for a text column; a filter on it does not predict a second time."""
     shared = session.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        return predictions(shared.value, texts)
 
     # else Spark copies the call into the filter: two predictions and two Python workers a task
     return F.arrow_udf(run, PREDICTION).asNondeterministic()(text)

@@ -43,6 +43,7 @@ SLOTS = BANDS * ROWS
 BLOCK = 1 << 15  # elements whose permutations are held at once
 SALTS = 32  # parts among which the pairs of one class are dealt
 TEXT_BYTES = 1 << 20  # texts whose sets are made at once
+HASHED = 1 << 18  # bytes of them hashed at once
 PAIRS = 256  # pairs of sets looked at together
 LEVEL_BITS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +53,7 @@ class Shingler:
     """Sets of shingle hashes, sorted; words are parted by ASCII white space, A-Z folded. Keeps no words."""
 
     def __init__(self, width: int):
-        self.width, self.hasher = width, Hasher(spaced())
+        self.width, self.hasher = width, Hasher(spaced(), HASHED)
 
     def sets_of(self, texts: pa.StringArray) -> list[np.ndarray]:
         raw, begins = raw_bytes(texts)

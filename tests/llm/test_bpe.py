@@ -1,6 +1,8 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -57,3 +59,35 @@ def test_encoding_is_checked_in_one_pass_with_few_words_kept(spark):
     for text in TEXTS:
         words.encode(text)
     assert max(len(words.split(t)) for t in TEXTS) >= len(words.known)
+
+
+def test_memory_of_folding_does_not_follow_the_number_of_words():
+    words = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+    fresh = [hashlib.md5(b"%d" % i).hexdigest()[:12].encode() for i in range(100_000)]
+    few = words.fold_all(fresh[:500])
+    tracemalloc.start()
+    try:
+        out = words.fold_all(fresh)
+        now, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - now < 25e6 and out[:500] == few and words.fold_all(fresh[-500:]) == out[-500:]
+    assert [bpe.as_list(x) for x in out[::5000]] == [bpe.fold(w, RANKS) for w in fresh[::5000]]
+
+
+def test_blocks_of_a_batch_go_back_one_by_one(spark, monkeypatch):
+    words = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN, 3)
+    monkeypatch.setattr(bpe, "BLOCK", 100)
+    texts = [*TEXTS, None]
+    parts = list(bpe.checked(words, iter([pa.array(texts), pa.array([], pa.string()), pa.array(["a b"])])))
+    assert len(parts) > 4
+    got = [r for part in parts for r in part.to_pylist()]
+    assert [bpe.as_list(r["ids"]) for r in got] == [YARDSTICK.encode_ordinary(t or "") for t in [*texts, "a b"]]
+    assert all(r["same"] for r in got)
+    # several blocks of one Arrow batch in a worker: rows keep their order
+    docs = spark.range(3000).selectExpr("id", "repeat(concat('w', id, ' '), 200) as text").coalesce(1)
+    coder = queries.tokenizer(spark, most_words=50)
+    rows = docs.select("id", "text", coder.encode_and_check(docs.text).alias("c")).select("id", "text", "c.ids", "c.same").collect()
+    assert len(rows) == 3000 and all(r.same for r in rows)
+    for r in rows[::500]:
+        assert bpe.as_list(r.ids) == YARDSTICK.encode_ordinary(r.text)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from salesprism.llm import langid, queries
 
@@ -61,3 +62,20 @@ def test_marks_alone_are_no_letters():
     model = langid.build_model([("de", int(g)) for g in langid.grams(["das ist ein haus"])[0]])
     assert model.predict(["\u0301\u0301 \u0308", "haus", "12 \u0301"]) [0] == [langid.UNKNOWN, "de", langid.UNKNOWN]
     assert langid.has_letter([None, "", "\u0301", "e\u0301"]) == [False, False, False, True]
+
+
+def test_texts_of_a_batch_become_python_s_a_block_at_a_time():
+    class Spy(langid.Model):
+        most = 0
+
+        def predict(self, texts):
+            Spy.most = max(Spy.most, sum(len(t or "") for t in texts))
+            return super().predict(texts)
+
+    plain = langid.build_model([("de", 5), ("en", int(langid.grams(["the cat"])[0][0]))])
+    model = Spy(plain.languages, plain.slots, plain.chance)
+    texts = [None, "", "the cat", "12", *["the cat and the dog " * n for n in range(0, 1000, 7)]]
+    got = langid.predictions(model, pa.array(texts)).to_pylist()
+    assert [(r["lang"], r["score"]) for r in got] == list(zip(*plain.predict(texts), strict=True))
+    assert Spy.most <= langid.BLOCK < sum(len(t or "") for t in texts)
+    assert len(langid.predictions(model, pa.array([], pa.string()))) == 0
