@@ -112,7 +112,7 @@ def split_rejects(raw: DataFrame, drop_for: Sequence[str] = DROPPED_FOR) -> tupl
     drop = F.arrays_overlap("reasons", F.array(*[F.lit(r) for r in drop_for])) if drop_for else F.lit(False)
     marked = reject_reasons(raw).withColumn("rejected", F.coalesce(drop, F.lit(False)))
     path = new_path(raw.sparkSession, "rejects")
-    marked.write.partitionBy("rejected").parquet(path)
+    marked.write.partitionBy("rejected").option("compression", "zstd").parquet(path)
     both = raw.sparkSession.read.schema(marked.schema).parquet(path)
     return both.where(~F.col("rejected")).drop("rejected"), both.where("rejected").drop("rejected")
 

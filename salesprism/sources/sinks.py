@@ -32,14 +32,20 @@ def write_transactions(
     return path
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
+def write_csv(
+    df: DataFrame, path: str, single_file: bool = False, compression: str = "none",
+    max_rows_per_file: int | None = None,
+) -> str:
     """One folder of CSV files. ``single_file`` is for tables bounded by a limit.
 
-    Outer spaces are part of the text and are kept.
+    Outer spaces are part of the text and are kept. A compressed file cannot
+    be split among tasks that read it, so ``max_rows_per_file`` bounds it.
     """
-    out = df.coalesce(1) if single_file else df
+    out = (df.coalesce(1) if single_file else df).write
+    if max_rows_per_file:
+        out = out.option("maxRecordsPerFile", max_rows_per_file)
     (
-        out.write.mode("overwrite").option("header", True)
+        out.mode("overwrite").option("header", True).option("compression", compression)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("quote", '"').option("escape", '"').csv(path)
     )
