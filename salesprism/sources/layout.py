@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesprism.session import shuffles_dropped
+
 RANK_BITS = 6
 SAMPLE = 4096  # distinct values of a column that its range ranks are made of
 ROW_GROUP_BYTES = 16 << 20
@@ -47,11 +49,14 @@ def range_borders(df: DataFrame, columns: Sequence[str], bits: int = RANK_BITS,
 
 
 def range_rank(column: str, borders: Sequence) -> Column:
-    """Number of borders at or below the value; null ranks with the least."""
+    """Number of borders, which are in order, at or below the value, by halves; null ranks with the least."""
     if not borders:
         return F.lit(0)
     known = F.array(*[F.lit(b) for b in borders])
-    return F.when(F.col(column).isNull(), 0).otherwise(F.size(F.filter(known, lambda b: b <= F.col(column))))
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(borders).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(known, at + step - 1) <= F.col(column), at + step).otherwise(at))
+    return F.when(F.col(column).isNull(), 0).otherwise(below)
 
 
 def curve(ranks: Sequence[Column], bits: int = RANK_BITS) -> Column:
@@ -63,7 +68,7 @@ def curve(ranks: Sequence[Column], bits: int = RANK_BITS) -> Column:
 
 def write_clustered(
     df: DataFrame, path: str, files: int, cluster_by: Sequence[str] = CLUSTER_BY, bloom: Sequence[str] = BLOOM,
-    partition_by: str = "order_year", row_group_bytes: int = ROW_GROUP_BYTES,
+    partition_by: str = "order_year", row_group_bytes: int = ROW_GROUP_BYTES, follows: Mapping[str, Column] | None = None,
 ) -> str:
     """Replace the table at ``path``: one folder per year, rows on a curve over ``cluster_by``.
 
@@ -71,21 +76,25 @@ def write_clustered(
     least and greatest values of a row group rule it out for a filter on any
     of them, and the Bloom filters of ``bloom`` do so for single keys. Files
     are ranges of the curve; rows of one place on it, which may be very many,
-    are dealt by a hash of the row.
+    are dealt by a hash of the row. Columns that ``follows`` works out from
+    the others are not moved but worked out again where the rows are written.
     """
-    borders = range_borders(df, cluster_by)
-    place = curve([range_rank(c, borders[c]) for c in cluster_by])
-    hashed = F.xxhash64(*[c for c in df.columns if c != partition_by])
-    out = (
-        df.withColumns({"_place": place, "_hash": hashed})
-        .repartitionByRange(files, partition_by, "_place", "_hash")
-        .sortWithinPartitions(partition_by, "_place", *cluster_by)
-        .drop("_place", "_hash")
-        .write.mode("overwrite").option("parquet.block.size", row_group_bytes)
-    )
-    for c in bloom:
-        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
-    out.partitionBy(partition_by).parquet(path)
+    follows = dict(follows or {})
+    moved = [c for c in df.columns if c not in follows]
+    with shuffles_dropped(df.sparkSession):
+        borders = range_borders(df, cluster_by)
+        place = curve([range_rank(c, borders[c]) for c in cluster_by])
+        out = (
+            df.select(*moved, place.alias("_place"))
+            .repartitionByRange(files, partition_by, "_place", F.xxhash64(*[c for c in moved if c != partition_by]))
+            .withColumns(follows).select(*df.columns, "_place")
+            .sortWithinPartitions(partition_by, "_place", *cluster_by)
+            .drop("_place")
+            .write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("compression", "zstd")
+        )
+        for c in bloom:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+        out.partitionBy(partition_by).parquet(path)
     return path
 
 

@@ -10,7 +10,7 @@ so the joins, the sort and the files carry the plain columns only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesprism.session import new_path, shuffles_dropped
@@ -58,10 +58,26 @@ def _joined(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def following(
+    subtotal: str = "subtotal_inr", quantity: str = "quantity", state: str = "customer_state",
+    customer: str = "customer_id", date: str = "order_date",
+) -> dict[str, Column]:
+    """Columns of the transactions that follow from other columns of theirs, so that none need be moved or stored."""
+    month = F.month(date)
+    return {
+        "original_price_inr": F.col(subtotal) / F.col(quantity),
+        "customer_city": F.concat(state, F.lit("-C"), (F.col(customer) % 5).cast("string")),
+        "order_month": month,
+        "festival_name": _festival(month),
+        "is_festival_sale": month.isin(1, 3, 10, 12),
+    }
+
+
 def _described(joined: DataFrame) -> DataFrame:
     """The transactions' columns from the joined lines, row by row."""
+    follows = {name: c.alias(name) for name, c in following(
+        "l_extendedprice", "l_quantity", "n_name", "o_custkey", "o_orderdate").items()}
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    month = F.month("o_orderdate")
     return joined.select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
@@ -70,7 +86,7 @@ def _described(joined: DataFrame) -> DataFrame:
         "category",
         F.col("p_size").alias("stock"),
         F.col("l_quantity").alias("quantity"),
-        unit.alias("original_price_inr"),
+        follows["original_price_inr"],
         (unit * (1 - F.col("l_discount"))).alias("discounted_price_inr"),
         (F.col("l_discount") * 100).alias("discount_percent"),
         F.col("l_extendedprice").alias("subtotal_inr"),
@@ -86,12 +102,12 @@ def _described(joined: DataFrame) -> DataFrame:
         F.floor(F.col("c_acctbal") / 2500).cast("int").alias("customer_age_group"),
         (F.col("c_acctbal") >= 5000).alias("is_prime_member"),
         F.col("n_name").alias("customer_state"),
-        F.concat("n_name", F.lit("-C"), (F.col("o_custkey") % 5).cast("string")).alias("customer_city"),
+        follows["customer_city"],
         F.col("r_name").alias("zone"),
         "order_year",
-        month.alias("order_month"),
-        _festival(month).alias("festival_name"),
-        month.isin(1, 3, 10, 12).alias("is_festival_sale"),
+        follows["order_month"],
+        follows["festival_name"],
+        follows["is_festival_sale"],
     )
 
 

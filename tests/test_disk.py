@@ -4,9 +4,11 @@ import glob
 import os
 import shutil
 
+from pyspark.sql import functions as F
+
 from salesprism.plans import catalog
 from salesprism.session import new_path, shared_folder, shuffles_dropped
-from salesprism.sources import readers, sinks, tables
+from salesprism.sources import layout, readers, sinks, tables
 from tests.conftest import SMALL
 
 
@@ -51,7 +53,9 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
     before, setting = shuffle_files(spark), spark.conf.get(name)
     folder = str(tmp_path / "tables")
     shutil.copytree(SMALL, folder)
-    tables.stored_transactions(spark, folder)
+    t = tables.stored_transactions(spark, folder)
+    assert shuffle_files(spark) <= before
+    layout.write_clustered(t.withColumn("city", F.col("customer_city")), new_path(spark, "clustered"), 4)
     assert shuffle_files(spark) <= before
     assert spark.conf.get(name) == setting
     spark.conf.set(name, "true")
@@ -59,3 +63,36 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
         pass
     assert spark.conf.get(name) == "true"
     spark.conf.set(name, setting)
+
+
+def test_clustered_write_moves_few_columns(spark, t, monkeypatch):
+    moved, kind = [], type(t)
+
+    def repartition(self, *a, f=kind.repartitionByRange):
+        moved.extend(self.columns)
+        return f(self, *a)
+
+    monkeypatch.setattr(kind, "repartitionByRange", repartition)
+    seen = left(spark, "clustered")
+    catalog.clustered_lookup(t).collect()
+    follow = {"original_price_inr", "customer_city", "city", "order_month", "festival_name", "is_festival_sale"}
+    assert set(moved) == set(t.columns) - follow | {"_place"}
+    (path,) = left(spark, "clustered") - seen
+    stored = spark.read.schema(t.schema).parquet(path)
+    assert sorted(map(repr, stored.select(t.columns).collect())) == sorted(map(repr, t.collect()))
+
+
+def test_clustered_table_of_numbers_or_with_texts_as_folders(spark):
+    numbers = spark.createDataFrame([(1990 + i % 2, i % 5, i) for i in range(100)], "order_year int, k long, customer_id long")
+    path = layout.write_clustered(numbers, new_path(spark, "clustered"), 2, cluster_by=("k",), bloom=())
+    assert sorted(spark.read.schema(numbers.schema).parquet(path).select(numbers.columns).collect()) == sorted(numbers.collect())
+    named = spark.createDataFrame([("abc"[i % 3], str(i % 5), i) for i in range(100)], "folder string, k string, n long")
+    path = layout.write_clustered(named, new_path(spark, "clustered"), 2, cluster_by=("k",), bloom=(), partition_by="folder")
+    assert sorted(spark.read.schema(named.schema).parquet(path).select(named.columns).collect()) == sorted(named.collect())
+
+
+def test_range_rank_counts_borders_at_or_below(spark):
+    for borders in ([], [3], [3, 5], [3, 5, 5, 9], list(range(0, 63)), list(range(0, 64))):
+        df = spark.createDataFrame([(i,) for i in [None, *range(-1, 70)]], "v long")
+        found = df.select("v", layout.range_rank("v", borders).alias("rank")).collect()
+        assert [r["rank"] for r in found] == [0 if r.v is None else sum(b <= r.v for b in borders) for r in found]
