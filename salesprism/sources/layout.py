@@ -66,6 +66,33 @@ def curve(ranks: Sequence[Column], bits: int = RANK_BITS) -> Column:
         for bit in range(bits) for i, rank in enumerate(ranks)])
 
 
+_BREAK, _MARK = "\u0001", "\u0002"
+
+
+def pack_texts(columns: Sequence[str]) -> Column:
+    """The texts of ``columns`` as one; nulls, breaks, marks and bytes that are no UTF-8 are marked.
+
+    A row of a shuffle keeps at least 16 bytes for every text, which hardly
+    compress; packed, short texts cost little more than their letters.
+    """
+    def one(c: str) -> Column:
+        plain = F.replace(F.replace(c, F.lit(_MARK), F.lit(_MARK + "b")), F.lit(_BREAK), F.lit(_MARK + "a"))
+        return F.when(F.col(c).isNull(), _MARK + "n").when(F.is_valid_utf8(c), plain).otherwise(F.concat(F.lit(_MARK + "x"), F.hex(c)))
+
+    return F.concat_ws(_BREAK, *map(one, columns))
+
+
+def unpack_texts(packed: str, columns: Sequence[str]) -> dict[str, Column]:
+    """The texts that ``pack_texts`` put into the column ``packed``, by name."""
+    def one(i: int) -> Column:
+        text = F.split_part(packed, F.lit(_BREAK), F.lit(i))
+        plain = F.replace(F.replace(text, F.lit(_MARK + "a"), F.lit(_BREAK)), F.lit(_MARK + "b"), F.lit(_MARK))
+        return F.when(text == _MARK + "n", None).when(
+            text.startswith(_MARK + "x"), F.unhex(F.substr(text, F.lit(3))).cast("string")).otherwise(plain)
+
+    return {c: one(i) for i, c in enumerate(columns, 1)}
+
+
 def write_clustered(
     df: DataFrame, path: str, files: int, cluster_by: Sequence[str] = CLUSTER_BY, bloom: Sequence[str] = BLOOM,
     partition_by: str = "order_year", row_group_bytes: int = ROW_GROUP_BYTES, follows: Mapping[str, Column] | None = None,
@@ -77,17 +104,19 @@ def write_clustered(
     of them, and the Bloom filters of ``bloom`` do so for single keys. Files
     are ranges of the curve; rows of one place on it, which may be very many,
     are dealt by a hash of the row. Columns that ``follows`` works out from
-    the others are not moved but worked out again where the rows are written.
+    the others are not moved but worked out again where the rows are written;
+    texts move packed.
     """
     follows = dict(follows or {})
-    moved = [c for c in df.columns if c not in follows]
+    texts = [c for c, kind in df.dtypes if kind == "string" and c not in (*follows, partition_by)]
+    plain = [c for c in df.columns if c not in (*follows, *texts, partition_by)]
     with shuffles_dropped(df.sparkSession):
         borders = range_borders(df, cluster_by)
         place = curve([range_rank(c, borders[c]) for c in cluster_by])
         out = (
-            df.select(*moved, place.alias("_place"))
-            .repartitionByRange(files, partition_by, "_place", F.xxhash64(*[c for c in moved if c != partition_by]))
-            .withColumns(follows).select(*df.columns, "_place")
+            df.select(partition_by, *plain, pack_texts(texts).alias("_texts"), place.alias("_place"))
+            .repartitionByRange(files, partition_by, "_place", F.xxhash64("_texts", *plain))
+            .withColumns(unpack_texts("_texts", texts)).withColumns(follows).select(*df.columns, "_place")
             .sortWithinPartitions(partition_by, "_place", *cluster_by)
             .drop("_place")
             .write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("compression", "zstd")

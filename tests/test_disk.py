@@ -76,12 +76,23 @@ def test_clustered_write_moves_few_columns(spark, t, monkeypatch):
     seen = left(spark, "clustered")
     catalog.clustered_lookup(t).collect()
     follow = {"original_price_inr", "customer_city", "city", "order_month", "festival_name", "is_festival_sale"}
-    assert set(moved) == set(t.columns) - follow | {"_place"}
+    texts = {c for c, kind in t.dtypes if kind == "string"}
+    assert set(moved) == set(t.columns) - follow - texts | {"_place", "_texts"}
     (path,) = left(spark, "clustered") - seen
     stored = spark.read.schema(t.schema).parquet(path)
     assert sorted(map(repr, stored.select(t.columns).collect())) == sorted(map(repr, t.collect()))
 
 
+def test_packed_texts_come_back(spark):
+    values = [None, "", "a", "\u0001", "\u0002", "\u0002n", "\u0002a", "\u0002x61", "x\u0001y\u0002bz\u0001", "é₹𝒳\u0000", "\u0002\u0002a\u0001b", " "]
+    rows = [(a, b, c) for a in values for b in values for c in values[:3]]
+    df = spark.createDataFrame(rows, "a string, b string, c string").selectExpr(
+        "*", "cast(unhex(if(a = 'a', 'FF41E2', '61')) as string) as bad")
+    packed = df.select("*", layout.pack_texts(df.columns).alias("packed"))
+    back = packed.select(*[F.col(c).eqNullSafe(v).alias(c) for c, v in layout.unpack_texts("packed", df.columns).items()])
+    assert back.where("a AND b AND c AND bad").count() == len(rows)
+
+
 def test_clustered_table_of_numbers_or_with_texts_as_folders(spark):
     numbers = spark.createDataFrame([(1990 + i % 2, i % 5, i) for i in range(100)], "order_year int, k long, customer_id long")
     path = layout.write_clustered(numbers, new_path(spark, "clustered"), 2, cluster_by=("k",), bloom=())
